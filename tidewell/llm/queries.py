@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewell.llm import exact_dedup
+from tidewell.llm import exact_dedup, langid
 from tidewell.llm.common import documents
 
 
@@ -13,7 +14,14 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    texts = docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "text")
+    return langid.identify(texts, langid.fit(docs)).drop("text")
+
+
 QUERIES = {
+    "op5_language_id": op5_language_id,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
