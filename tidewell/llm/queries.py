@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import exact_dedup, langid
+from tidewell.llm import exact_dedup, jpeg_store, langid, simhash
 from tidewell.llm.common import documents
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir), keep="largest").select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg_store.media_columns(documents(spark, sf_dir))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     texts = docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "text")
@@ -21,7 +29,9 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_media_columns": op4_media_columns,
     "op5_language_id": op5_language_id,
+    "op6_simhash": op6_simhash,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
