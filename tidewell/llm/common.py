@@ -35,3 +35,10 @@ def free_name(df: DataFrame, base: str) -> str:
     while base.lower() in taken:
         base += "_"
     return base
+
+
+def tokenizer_file(name: str) -> str:
+    """The place of a public vocabulary file, which every machine has installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

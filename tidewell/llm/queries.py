@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import exact_dedup, jpeg_store, langid, simhash
-from tidewell.llm.common import documents
+from tidewell.llm import bpe, exact_dedup, jpeg_store, langid, simhash
+from tidewell.llm.common import documents, tokenizer_file
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir), keep="largest").select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -32,6 +36,7 @@ QUERIES = {
     "op4_media_columns": op4_media_columns,
     "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,
+    "op7_bpe": op7_bpe,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
