@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, exact_dedup, jpeg_store, langid, simhash
+from tidewell.llm import bpe, exact_dedup, jpeg_store, langid, packing, simhash, token_matrix
 from tidewell.llm.common import documents, tokenizer_file
 
 
@@ -17,6 +17,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json")).drop("row")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir), keep="largest").select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -32,12 +36,18 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(texts, langid.fit(docs)).drop("text")
 
 
+def op10_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_matrix.matrix(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op4_media_columns": op4_media_columns,
     "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,
     "op7_bpe": op7_bpe,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_token_matrix": op10_token_matrix,
 }
 
 ORACLE_SQL = {
