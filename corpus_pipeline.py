@@ -1,12 +1,71 @@
-"""The corpus pipeline: five operators applied in turn to ``documents``."""
+"""The corpus pipeline: five operators applied in turn to ``documents``.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor kept. The first four return the
+columns of ``documents``; the last returns where each piece of each remaining document is packed.
+
+Defined cases are those of the operators. A document is rejected by the first stage only if no language can be
+determined (a null text, or one without a letter). Of rows that repeat an id each is treated as a document of
+its own, but identical ones (and near copies) leave one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewell.llm import exact_dedup, langid, packing, pii, simhash
+from tidewell.llm.common import cut, documents, free_name, small, tokenizer_file
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    predicted = free_name(docs, "lang_pred")
+    score = free_name(docs, "lang_score")
+    found = langid.identify(docs, langid.fit(docs), lang_as=predicted, score_as=score)
+    return found.where(F.col(predicted) != langid.UNDETERMINED).drop(predicted, score)
+
+
+def _without(docs: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose numbers ``dropped`` holds."""
+    return docs.join(small(dropped.withColumnRenamed("row", row)), row, "left_anti").drop(row)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    row = free_name(docs, "row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    flags = exact_dedup.exact_duplicates(numbered, keep="smallest", row_col=row)
+    return _without(numbered, row, cut(flags.where("not kept").select("row")))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    row = free_name(docs, "row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    flags = simhash.near_duplicates(numbered, row_col=row)
+    return _without(numbered, row, cut(flags.where("not kept").select("row")))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.sanitise(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs, tokenizer_file("word_bpe_49k.json")).drop("row")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact),
+    ("simhash_near_dedup", near),
+    ("pii", personal_data),
+    ("best_fit_packing", packing_stage),
+]
 
-STAGES: list = []
+#: Trie joins, sanitisation and packing aren't expressible in SQL; the tests hold stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        # Each stage's rows are written to the shared folder and read again.
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

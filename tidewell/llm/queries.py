@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, exact_dedup, jpeg_store, langid, packing, simhash, token_matrix
+from tidewell.llm import bpe, exact_dedup, jpeg_store, langid, license_scan, packing, pii, simhash, token_matrix, wordpiece
 from tidewell.llm.common import documents, tokenizer_file
 
 
@@ -26,6 +26,18 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
+def op2_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(documents(spark, sf_dir))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg_store.media_columns(documents(spark, sf_dir))
 
@@ -41,6 +53,9 @@ def op10_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_wordpiece_counts": op2_wordpiece_counts,
+    "op3_license_scan": op3_license_scan,
     "op4_media_columns": op4_media_columns,
     "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,

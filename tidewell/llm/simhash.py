@@ -64,9 +64,10 @@ def fingerprint(hashes: bytes) -> int:
     return int.from_bytes(np.packbits(total * 2 > len(bits)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """``(id, row, fp)``: the fingerprint as a signed 64-bit number; ``row`` numbers the rows."""
-    chosen = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, row_col: str | None = None) -> DataFrame:
+    """``(id, row, fp)``: the fingerprint as a signed 64-bit number; ``row`` numbers the rows unless ``row_col`` does."""
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    chosen = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,9 +225,10 @@ def _joined(columns: list[np.ndarray], budget: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[4][tied]), pa.array(columns[4][label[tied]])], names=["u", "v"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, budget: int = BUDGET) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, budget: int = BUDGET,
+                    row_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: its id, fingerprint (16 hexadecimal digits), component, and whether it is the one to keep."""
-    rows = cut(fingerprints(docs, id_col, text_col, width))
+    rows = cut(fingerprints(docs, id_col, text_col, width, row_col))
     # A null id comes last.
     order = F.struct(F.isnull("id").alias("none"), "id", "row")
     distinct = cut(rows.groupBy("fp").agg(F.min(order).alias("top")))
