@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tidewell.plans import preparation_queries, search_queries
+
+QUERIES = search_queries.QUERIES | preparation_queries.QUERIES
+ORACLE_SQL = search_queries.ORACLE_SQL | preparation_queries.ORACLE_SQL
