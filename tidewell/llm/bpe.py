@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by tree concatenation.
 
-A text is cut where no token can cross (before the space of each word), and a piece's ids are remembered,
-as most words come again. A piece of at most ``LEAF`` bytes is merged directly. A longer one without a cut
+Text whose words have at most ``LEAF`` characters is merged directly, by compiled code; longer words are cut out of it
+with the white space before them, as no token crosses from a word to white space. A longer one without a cut
 is encoded as a balanced tree: its halves are encoded independently of each other (in parallel if a pool
 is given), and at each join a window of tokens around the boundary is decoded and encoded anew, doubling,
 until its first token is the left side's and its last token the right side's. That is exact: a sequence is
@@ -20,6 +20,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -29,7 +30,6 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 LEAF = 64
 #: Pieces remembered in a worker, about 250 bytes each; beyond it the memory starts anew.
@@ -164,6 +164,15 @@ class Remembered(dict):
         return ids
 
 
+def compiled(model: dict, merges: Merges, pattern: str) -> tiktoken.Encoding | None:
+    """Compiled code that merges pieces by the rank of what they make; None if the file's merges aren't in that order."""
+    ids = model["vocab"]
+    made = [ids[a + b] for a, b in model["merges"]]
+    if made != sorted(made) or not made or made[0] < 256:
+        return None
+    return tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks={v: k for k, v in merges.bytes.items()}, special_tokens={})
+
+
 class ByteBpe:
     """Encodes and decodes as the tokenizers library does with a byte-level BPE file (no special tokens added)."""
 
@@ -171,61 +180,38 @@ class ByteBpe:
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         self.merges = Merges(file["model"])
-        self.leaf = self._leaf(file["model"])
+        self.fast = compiled(file["model"], self.merges, PATTERN)
         self.added = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.split_added = re.compile("(" + "|".join(map(re.escape, self.added)) + ")")
         self.pieces = regex.compile(PATTERN)
-        self.chunks = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-        self.doubled = re.compile(rf"[{SPACE}][{SPACE}]|[\t\x0b-\r{WIDE_SPACE}]")
-        self.bare, self.spaced = Remembered(self.chunk, ""), Remembered(self.chunk, " ")
+        self.long_runs = re.compile(rf"((?:[{SPACE}]*[^{SPACE}]{{{LEAF + 1},}})+)")
         names = self.merges.bytes | {k: t.encode() for t, k in self.added.items()}
         self.token_bytes = [names[k] for k in range(max(names) + 1)]
         self.decimal = [str(k) for k in range(len(self.token_bytes))]
 
-    def _leaf(self, model: dict):
-        """What merges a short piece: compiled code if ids are in the order of the merges, as it takes ids for ranks."""
-        ids = model["vocab"]
-        made = [ids[a + b] for a, b in model["merges"]]
-        if made != sorted(made) or not made or made[0] < 256:
-            return lambda piece: self.merges.direct(piece.encode())
-        ranks = {v: k for k, v in self.merges.bytes.items()}
-        return tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def chunk(self, text: str) -> bytes:
+    def by_pieces(self, text: str) -> np.ndarray:
+        """Each piece by itself, long ones by tree concatenation."""
         ids: list[int] = []
         for piece in self.pieces.findall(text):
-            data = piece.encode()
-            if len(data) <= LEAF:
-                ids += self.leaf(piece)
-            else:
-                ids += self.merges.encode(data)
-        return np.array(ids, "<u2").tobytes()
+            ids += self.merges.encode(piece.encode())
+        return np.array(ids, "<u4")
 
-    def plain(self, text: str) -> bytes:
+    def plain(self, text: str) -> np.ndarray:
         """The ids of text without added tokens."""
-        if self.doubled.search(text):
-            return b"".join(map(self.bare.__getitem__, self.chunks.findall(text)))
-        # All white space is single spaces and line ends, so each space begins a piece and each line end is one.
-        out: list[bytes] = []
-        bare, spaced = self.bare, self.spaced
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append(bare["\n"])
-            first, *rest = line.split(" ")
-            if first:
-                out.append(bare[first])
-            out += map(spaced.__getitem__, rest)
-        return b"".join(out)
+        if self.fast is None:
+            return self.by_pieces(text)
+        if max(map(len, text.split()), default=0) <= LEAF:
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        # No token crosses from a word to white space, so long words with the white space before them stand for themselves.
+        return np.concatenate([self.by_pieces(t) if k % 2 else self.fast.encode_to_numpy(t, disallowed_special=())
+                               for k, t in enumerate(self.long_runs.split(text)) if t])
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
-            return np.zeros(0, "<u2")
+            return np.zeros(0, "<u4")
         if not any(t in text for t in self.added):
-            data = self.plain(text)
-        else:
-            data = b"".join(np.array([self.added[t]], "<u2").tobytes() if t in self.added else self.plain(t)
-                            for t in self.split_added.split(text) if t)
-        return np.frombuffer(data, "<u2")
+            return self.plain(text)
+        return np.concatenate([np.array([self.added[t]], "<u4") if t in self.added else self.plain(t) for t in self.split_added.split(text) if t])
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids))
@@ -238,14 +224,18 @@ class ByteBpe:
 WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 
 
+#: Stands for the end of a word where compiled code merges words; text that holds it takes the plain way.
+END = "\x00"
+
+
 class WordBpe:
     """Encodes as the tokenizers library does with a lower-case word BPE file (white space dropped, no special tokens added)."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        self.library = Tokenizer.from_file(path).model
         self.merges = Merges(file["model"])
+        self.leaf, self.ids = self._leaf(file["model"])
         self.added = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.split_added = re.compile("(" + "|".join(map(re.escape, self.added)) + ")")
         self.pieces = regex.compile(WORD_PATTERN)
@@ -253,15 +243,35 @@ class WordBpe:
         self.space = re.compile(rf"[{SPACE}]+")
         self.words = Remembered(self.word, "")
 
+    def _leaf(self, model: dict):
+        """Compiled code for pieces that end with ``END``, and the file's id for each of its ranks.
+
+        The symbols that end a word are made first, of their byte and ``END``; then the merges follow in their order.
+        """
+        ids, suffix = model["vocab"], self.merges.suffix
+        names = [bytes([b]) for b in range(256)] + [bytes([b]) + END.encode() for b in range(256)]
+        numbers = [*self.merges.inner, *self.merges.last]
+        for a, b in model["merges"]:
+            k = ids[(a.removesuffix(suffix) if suffix else a) + b]
+            names.append(self.merges.bytes[k] + END.encode() * b.endswith(suffix))
+            numbers.append(k)
+        ranks = {name: rank for rank, name in enumerate(names)}
+        if len(ranks) != len(names):
+            return None, None
+        return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary, numbers
+
+    def piece(self, text: str) -> bytes:
+        if self.leaf and len(text) <= LEAF and END not in text:
+            return array("H", map(self.ids.__getitem__, self.leaf(text + END))).tobytes()
+        return array("H", self.merges.encode(text.encode())).tobytes()
+
     def word(self, text: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.pieces.findall(text):
-            data = piece.encode()
-            if len(data) <= LEAF:
-                ids += [t.id for t in self.library.tokenize(data.decode("latin-1").translate(TO_LETTERS))]
-            else:
-                ids += self.merges.encode(data)
-        return np.array(ids, "<u2").tobytes()
+        if text.isalpha():
+            return self.piece(text)
+        if len(text) > 1 and text[-1] in ".," and text[:-1].isalpha():
+            # A mark after a word is a piece of its own; the word itself is often known.
+            return self.words[text[:-1]] + self.words[text[-1]]
+        return b"".join(map(self.piece, self.pieces.findall(text)))
 
     def plain(self, text: str) -> bytes:
         if not text.isascii():
@@ -275,7 +285,7 @@ class WordBpe:
             return np.zeros(0, "<u2")
         if not any(t in text for t in self.added):
             return np.frombuffer(self.plain(text), "<u2")
-        return np.frombuffer(b"".join(np.array([self.added[t]], "<u2").tobytes() if t in self.added else self.plain(t)
+        return np.frombuffer(b"".join(array("H", [self.added[t]]).tobytes() if t in self.added else self.plain(t)
                                       for t in self.split_added.split(text) if t), "<u2")
 
 
