@@ -74,7 +74,7 @@ def merge(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Products of ordered files (``src_ord``, ``pos``), the first of each id; and the rejected records."""
     every = normalized(records)
     products = keep_first(every.where("valid"), ["id"], "src_ord", "pos").select(*PRODUCT.names)
-    return products, records.where(F.col("v").isNull()).select("value", "src_ord", "pos").unionByName(every.where("NOT valid").select("value", "src_ord", "pos"))
+    return products, every.where("NOT valid").select("value", "src_ord", "pos")
 
 
 def coerced(df: DataFrame) -> DataFrame:
