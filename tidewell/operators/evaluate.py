@@ -44,15 +44,15 @@ def details(measured: DataFrame) -> DataFrame:
     return measured.select("query_id", *(F.round(m, 4).alias(m) for m in MEASURES), "reciprocal_rank")
 
 
-def summary(measured: DataFrame) -> DataFrame:
-    """Means of the rounded values, and the mean reciprocal rank of unrounded ones, rounded to four places; 0 for no queries."""
+def summary(measured: DataFrame, digits: int = 4) -> DataFrame:
+    """Means of the rounded values, and the mean reciprocal rank of unrounded ones, rounded to ``digits`` places; 0 for no queries."""
     def mean(name: str) -> Column:
-        return F.round(F.coalesce(F.avg(name), F.lit(0.0)), 4)
+        return F.round(F.coalesce(F.avg(name), F.lit(0.0)), digits)
 
     return details(measured).agg(F.count(F.lit(1)).alias("n_queries"), *(mean(m).alias(f"avg_{m}") for m in MEASURES), mean("reciprocal_rank").alias("mrr"))
 
 
-def compare(first: DataFrame, second: DataFrame) -> DataFrame:
+def compare(first: DataFrame, second: DataFrame, digits: int = 4) -> DataFrame:
     """Two summaries measure by measure: ``(measure, first, second, difference, trend)``."""
     names = [*(f"avg_{m}" for m in MEASURES), "mrr"]
 
@@ -60,7 +60,7 @@ def compare(first: DataFrame, second: DataFrame) -> DataFrame:
         return df.select(F.explode(F.array(*(F.struct(F.lit(n).alias("measure"), F.col(n).alias(name)) for n in names))).alias("x")).select("x.*")
 
     both = long(first, "first").join(long(second, "second"), "measure")
-    difference = F.round(F.col("second") - F.col("first"), 4)
+    difference = F.round(F.col("second") - F.col("first"), digits)
     return both.withColumn("difference", difference).withColumn("trend", F.when(difference > 0, "up").when(difference < 0, "down").otherwise("same"))
 
 

@@ -14,6 +14,8 @@ from tidewell.operators import evaluate, index, ranking, search
 BATCH = [(1, "the with"), (2, "la de les"), (3, "und der schen"), (4, "Apache License, Version"), (5, "the the of"), (6, "xyznonexist"), (7, "que ción para"), (8, "worthless scum")]
 #: Offer searches over ``part``.
 OFFERS = [(1, "red widget"), (2, "small ring gear"), (3, "hot bolt")]
+#: Places of the reports: enough that means of eight rounded values aren't cut at a tie.
+DIGITS = 8
 GRID = [(1.2, 0.9), (1.2, 0.75), (1.5, 0.75), (2.0, 0.5)]
 #: Every hundredth vector is a query.
 EVERY = 100
@@ -200,11 +202,11 @@ def mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.summary(_measured(spark, sf_dir))
+    return evaluate.summary(_measured(spark, sf_dir), DIGITS)
 
 
 def eval_compare_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.compare(evaluate.summary(_measured(spark, sf_dir)), evaluate.summary(_measured(spark, sf_dir, 2.0, 0.1)))
+    return evaluate.compare(evaluate.summary(_measured(spark, sf_dir), DIGITS), evaluate.summary(_measured(spark, sf_dir, 2.0, 0.1), DIGITS), DIGITS)
 
 
 def build_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,7 +282,7 @@ def _measures(name: str, k1: str = "1.2::DOUBLE", b: str = "0.9::DOUBLE") -> str
 
 def _means(of: str) -> str:
     names = ("precision", "recall", "f1", "ndcg")
-    return "count(*) AS n_queries, " + ", ".join(f"round(avg(round({n}, 4)), 4) AS avg_{n}" for n in names) + f", round(avg(rr), 4) AS mrr FROM {of}"
+    return "count(*) AS n_queries, " + ", ".join(f"round(avg(round({n}, 4)), {DIGITS}) AS avg_{n}" for n in names) + f", round(avg(rr), {DIGITS}) AS mrr FROM {of}"
 
 
 _LONG = " UNION ALL ".join(f"SELECT '{n}' AS measure, a.{n} AS first, b.{n} AS second FROM a, b" for n in ("avg_precision", "avg_recall", "avg_f1", "avg_ndcg", "mrr"))
@@ -343,7 +345,7 @@ ORACLE_SQL = {
     "mrr": f"WITH {_measures('m')} SELECT round(avg(rr), 6) AS mrr FROM m",
     "eval_report": f"WITH {_measures('m')} SELECT {_means('m')}",
     "eval_compare_modes": f"""WITH {_measures('ma')}, {_measures('mb', '2.0::DOUBLE', '0.1::DOUBLE')}, a AS (SELECT {_means('ma')}), b AS (SELECT {_means('mb')}), l AS ({_LONG})
-        SELECT measure, first, second, round(second - first, 4) AS difference, CASE WHEN round(second - first, 4) > 0 THEN 'up' WHEN round(second - first, 4) < 0 THEN 'down' ELSE 'same' END AS trend FROM l""",
+        SELECT measure, first, second, round(second - first, {DIGITS}) AS difference, CASE WHEN round(second - first, {DIGITS}) > 0 THEN 'up' WHEN round(second - first, {DIGITS}) < 0 THEN 'down' ELSE 'same' END AS trend FROM l""",
     "build_ground_truth": f"""WITH {_scores(BATCH)} SELECT query_id, count(rank) AS n_results, coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY rank) FILTER (rank <= 5), '') AS relevant
         FROM q LEFT JOIN (SELECT * FROM ranked WHERE rank <= 20) USING (query_id) GROUP BY query_id""",
 }
