@@ -7,10 +7,10 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import index_text
-from tidewell.operators import dedup, evaluate, index, ranking, search
+from tidewell.operators import dedup, evaluate, index, ranking, search, vectors
 from tidewell.plans import preparation_queries as P
 from tidewell.sources import jsonl, products
-from tidewell.streaming import ingest
+from tidewell.streaming import crawl_state, ingest
 
 LISTINGS = [("s1", "iPhone 15 Pro Max", "iphone 15 pro max", 25000000, "shopee"), ("s2", "Samsung Galaxy S24", "samsung galaxy s24", 20000000, "tiki"),
             ("s3", "Tai nghe iPhone chính hãng", "tai_nghe iphone chính_hãng", 500000, "shopee")]
@@ -240,3 +240,31 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     spark.createDataFrame([("b",), ("c",)], "id string").write.mode("append").json(source)
     ingest.ingest(spark, source, out, state, one.schema).awaitTermination()
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_crawl_goes_on_from_the_last_page(spark):
+    log = spark.createDataFrame([(1, "tiki", "a", 3, False), (2, "tiki", "a", 3, True), (3, "tiki", "b", 7, False)], crawl_state.EVENT)
+    categories = spark.createDataFrame([("tiki", "a"), ("tiki", "b"), ("tiki", "c")], "platform string, category string")
+    assert sorted((r["category"], r["resume_page"]) for r in crawl_state.to_do(categories, log).collect()) == [("b", 7), ("c", 0)]
+    seen = spark.createDataFrame([("x",), ("x",), ("y",)], "id string")
+    assert crawl_state.stats(log, seen).first() == Row(total_crawled_products=2, completed_categories=1, current_category="b", last_page=7)
+    assert crawl_state.stats(log.limit(0), seen).first() == Row(total_crawled_products=2, completed_categories=0, current_category=None, last_page=0)
+
+
+def test_vectors(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "red phone case"), ("b", "red phone"), ("c", "blue sofa"), ("d", ""), (None, "x"), ("e", None)], "id string, title string")
+    vectors.save(vectors.build(docs, F.col("title")), str(tmp_path / "v"))
+    own = vectors.load(spark, str(tmp_path / "v"))
+    assert vectors.check(own).first() == Row(n=3, n_ids=3, least_dimensions=768, most_dimensions=768, n_bytes=3 * 768 * 4)
+    assert all(abs(sum(x * x for x in r["vec"]) - 1) < 1e-5 for r in own.collect())
+    asked = vectors.embed(queries(spark, "red phone"), F.col("query"), vectors.hashing_embedder)
+    assert [d for d, _ in by_query(ranking.knn(asked, own, 2))[0]] == ["b", "a"]
+
+
+def test_vector_and_hybrid_modes(spark, engine, listings):
+    own = vectors.build(listings, F.col("title"))
+    both = search.SearchEngine(engine.index, engine.store, own, lambda q: vectors.embed(q, F.col("query"), vectors.hashing_embedder), mode="vector")
+    assert [d for d, _ in by_query(both.search(queries(spark, "samsung galaxy s24")))[0]] == ["s2"]
+    both.set_mode("hybrid")
+    got = by_query(both.search(queries(spark, "samsung galaxy")))[0]
+    assert got == [("s2", round(100 * 1.0 / 60, 4))]

@@ -12,7 +12,7 @@ from tidewell.functions import text
 from tidewell.operators import dedup
 from tidewell.plans.search_queries import _values, table
 from tidewell.sources import jsonl, products
-from tidewell.streaming import ingest
+from tidewell.streaming import crawl_state, ingest
 
 # Fixed inputs and the results they must give.
 EXPANSIONS = [("ip 14prm", "iphone 14 pro max"), ("ss galaxy", "samsung galaxy"), ("dt", "điện thoại"), ("256gb", "256 gb"), ("macbook air m2", "macbook air m 2"),
@@ -131,6 +131,13 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"))
 
 
+def crawl_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a crawl log: users as platforms, types as categories; a purchase completes its category."""
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("platform"), F.col("event_type").alias("category"),
+                                                F.col("value").cast("int").alias("page"), (F.col("event_type") == "purchase").alias("done"))
+    return crawl_state.stats(log, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")))
+
+
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs of the incremental stream over ``lineitem``'s order keys; the second finds nothing new."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewell-stream-")
@@ -144,7 +151,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     title_clean_docs, clean_html_pages, clean_html_unescaped, clean_price_text, expand_query, junk_title_filter, parse_category, ebay_prices, ebay_ids, normalize_rows, parse_marketplaces,
-    product_ids, dedup_keep_latest, merge_keep_first, dedup_report, count_by_source, anti_join_unseen, json_fields, stream_ingest)}
+    product_ids, dedup_keep_latest, merge_keep_first, dedup_report, count_by_source, anti_join_unseen, json_fields, crawl_stats, stream_ingest)}
 
 _CLEAN = "html"
 for _entity, _plain in text.ENTITIES.items():
@@ -178,5 +185,8 @@ ORACLE_SQL = {
     "count_by_source": "SELECT coalesce(source, 'unknown') AS source, count(*) AS n FROM documents GROUP BY ALL",
     "anti_join_unseen": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "json_fields": "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events",
+    "crawl_stats": """WITH last AS (SELECT * FROM events ORDER BY event_id DESC LIMIT 1)
+        SELECT (SELECT count(DISTINCT o_custkey) FROM orders) AS total_crawled_products, (SELECT count(DISTINCT user_id) FROM events WHERE event_type = 'purchase') AS completed_categories,
+            CASE WHEN event_type <> 'purchase' THEN event_type END AS current_category, CASE WHEN event_type <> 'purchase' THEN trunc(value)::INT ELSE 0 END AS last_page FROM last""",
     "stream_ingest": "SELECT DISTINCT l_orderkey AS id FROM lineitem",
 }

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tidewell.functions import codec
 from tidewell.functions.text import format_price, intent_weights, tokenize
-from tidewell.operators import evaluate, index, ranking, search
+from tidewell.operators import evaluate, index, ranking, search, vectors
 
 #: The stated batch of queries.
 BATCH = [(1, "the with"), (2, "la de les"), (3, "und der schen"), (4, "Apache License, Version"), (5, "the the of"), (6, "xyznonexist"), (7, "que ción para"), (8, "worthless scum")]
@@ -92,18 +92,22 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
 
 
-def _vector_queries(vectors: DataFrame) -> DataFrame:
-    return vectors.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), "vec")
+def _vector_queries(own: DataFrame) -> DataFrame:
+    return own.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), "vec")
 
 
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _vectors(spark, sf_dir)
-    return shown(ranking.knn(_vector_queries(vectors), vectors, 10))
+    own = _vectors(spark, sf_dir)
+    return shown(ranking.knn(_vector_queries(own), own, 10))
 
 
 def knn_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _vectors(spark, sf_dir)
-    return shown(ranking.knn(_vector_queries(vectors), vectors, 10, ranking.MIN_COSINE))
+    own = _vectors(spark, sf_dir)
+    return shown(ranking.knn(_vector_queries(own), own, 10, ranking.MIN_COSINE))
+
+
+def vector_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.check(_vectors(spark, sf_dir))
 
 
 def _hybrid_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +220,7 @@ def build_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     tokenize_docs, term_frequency, doc_lengths, corpus_stats, term_stats_idf, postings_lists, bm25_topk, bm25_batch, bm25_repeated_term, bm25_tune_grid,
-    intent_weights_turns, knn_topk, knn_threshold, hybrid_rrf, search_enriched, doc_store, diversify_platforms, filter_price_platform, sort_price_page, format_price_parts,
+    intent_weights_turns, knn_topk, knn_threshold, vector_check, hybrid_rrf, search_enriched, doc_store, diversify_platforms, filter_price_platform, sort_price_page, format_price_parts,
     posting_gaps, compress_roundtrip, gamma_encode, vb_encode, precision_recall_f1, ndcg, mrr, eval_report, eval_compare_modes, build_ground_truth)}
 
 # --- oracles ---
@@ -305,6 +309,7 @@ ORACLE_SQL = {
     "intent_weights_turns": rf"""WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM conversations),
         c AS (SELECT conv_id, turn, len(w) AS n, len(list_filter(w, lambda x: regexp_matches(x, {_TECH}))) AS t FROM w)
         SELECT conv_id, turn, {_WEIGHT.format('0.8', '0.2', '0.6')} AS bm25_weight, {_WEIGHT.format('0.2', '0.8', '0.4')} AS vector_weight FROM c""",
+    "vector_check": "SELECT count(*) AS n, count(DISTINCT vec_id) AS n_ids, min(len(embedding)) AS least_dimensions, max(len(embedding)) AS most_dimensions, sum(len(embedding))::BIGINT * 4 AS n_bytes FROM embeddings",
     "knn_topk": KNN,
     "knn_threshold": KNN + " AND score >= 0.55",
     "hybrid_rrf": rf"""WITH {_scores(BATCH)}, hv AS (SELECT vec_id // 7 AS query_id, embedding::DOUBLE[] AS vec FROM embeddings WHERE vec_id % 7 = 0 AND vec_id // 7 <= 8),
