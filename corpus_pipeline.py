@@ -4,7 +4,7 @@ Each stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor
 columns of ``documents``; the last returns where each piece of each remaining document is packed.
 
 Defined cases are those of the operators. A document is rejected by the first stage only if no language can be
-determined (a null text, or one without a letter). Of rows that repeat an id each is treated as a document of
+determined: its text is null or has no letter, or is foreign to all learned languages (``langid.FOREIGN``). Of rows that repeat an id each is treated as a document of
 its own, but identical ones (and near copies) leave one.
 """
 
@@ -18,10 +18,9 @@ from tidewell.llm.common import cut, documents, free_name, small, tokenizer_file
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    predicted = free_name(docs, "lang_pred")
-    score = free_name(docs, "lang_score")
-    found = langid.identify(docs, langid.fit(docs), lang_as=predicted, score_as=score)
-    return found.where(F.col(predicted) != langid.UNDETERMINED).drop(predicted, score)
+    predicted, score, foreign = (free_name(docs, n) for n in ("predicted_lang", "predicted_score", "predicted_foreign"))
+    found = langid.identify(docs, langid.fit(docs), lang_as=predicted, score_as=score, foreign_as=foreign)
+    return found.where((F.col(predicted) != langid.UNDETERMINED) & ~F.col(foreign)).drop(predicted, score, foreign)
 
 
 def _without(docs: DataFrame, row: str, dropped: DataFrame) -> DataFrame:

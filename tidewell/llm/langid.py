@@ -37,6 +37,8 @@ ROWS, CHARS, LANGUAGES, BLOCK = 96, 384, 64, 512
 #: Bytes of text parsed side by side.
 BATCH_BYTES = 4 << 20
 UNDETERMINED = "und"
+#: A text is foreign to all languages if even the best needs a phrase for fewer than two bytes, beyond a few phrases.
+FOREIGN, FEW_PHRASES = 0.5, 8
 
 #: names: languages by falling number of labelled rows; samples: their normalised texts.
 Model = namedtuple("Model", "names samples")
@@ -162,10 +164,11 @@ class Parser:
         total = np.stack([np.bincount(owner, row, len(texts)) for row in count], axis=1) if len(self.roots) else np.zeros((len(texts), 0))
         return total, sizes
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """For each text the language, its score, and whether the text is foreign to all languages."""
+        names, scores, foreign = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         if not self.names:
-            return names, scores
+            return names, scores, foreign
         batch: list[tuple[int, bytes]] = []
         held = 0
         for k, text in enumerate(texts):
@@ -174,13 +177,13 @@ class Parser:
             batch.append((k, normal(text)))
             held += len(batch[-1][1])
             if held >= BATCH_BYTES:
-                self._decide(batch, names, scores)
+                self._decide(batch, names, scores, foreign)
                 batch, held = [], 0
         if batch:
-            self._decide(batch, names, scores)
-        return names, scores
+            self._decide(batch, names, scores, foreign)
+        return names, scores, foreign
 
-    def _decide(self, batch: list[tuple[int, bytes]], names: list[str], scores: np.ndarray) -> None:
+    def _decide(self, batch: list[tuple[int, bytes]], names: list[str], scores: np.ndarray, foreign: np.ndarray) -> None:
         count, sizes = self.phrases([x for _, x in batch])
         entropy = count * self.weight / np.maximum(sizes, 1)[:, None]
         best = entropy.argmin(axis=1)
@@ -189,6 +192,7 @@ class Parser:
         score = 1 - ranked[:, 0] / ranked[:, 1] if ranked.shape[1] > 1 else np.ones(len(batch))
         for (k, _), b, s in zip(batch, best, score):
             names[k], scores[k] = self.names[b], min(1.0, max(0.0, float(s)))
+        foreign[[k for k, _ in batch]] = count[np.arange(len(batch)), best] > FOREIGN * sizes + FEW_PHRASES
 
 
 _parsers: dict[Model, Parser] = {}
@@ -202,14 +206,15 @@ def parser(model: Model) -> Parser:
     return _parsers[model]
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its score (0 to 1) appended."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(lang_as, T.StringType()), T.StructField(score_as, T.DoubleType())])
+def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score", foreign_as: str = "foreign") -> DataFrame:
+    """``docs`` with the predicted language, its score (0 to 1), and whether the text is foreign to all languages, appended."""
+    more = [T.StructField(lang_as, T.StringType()), T.StructField(score_as, T.DoubleType()), T.StructField(foreign_as, T.BooleanType())]
+    schema = T.StructType([*docs.schema.fields, *more])
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = parser(model).predict(batch.column(place).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], names=schema.names)
+            names, scores, foreign = parser(model).predict(batch.column(place).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores), pa.array(foreign)], names=schema.names)
 
     return docs.mapInArrow(run, schema)

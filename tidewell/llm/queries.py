@@ -45,7 +45,7 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     texts = docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "text")
-    return langid.identify(texts, langid.fit(docs)).drop("text")
+    return langid.identify(texts, langid.fit(docs)).drop("text", "foreign")
 
 
 def op10_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
