@@ -159,11 +159,19 @@ def test_offers(spark, engine):
     assert [(r["doc_id"], r["position"], r["pages"]) for r in page.collect()] == [("s3", 1, 1)]
 
 
+def test_optional_boost_and_floor(spark):
+    hits = spark.createDataFrame([(0, "a", "red phone with many other words in its title", 9.0, 1), (0, "b", "red phone", 8.0, 2), (0, "c", "", 1.0, 3)],
+                                 "query_id int, doc_id string, title string, score double, rank int")
+    boosted = search.coverage_boost(hits, queries(spark, "red phone"))
+    assert [(r["doc_id"], round(r["score"], 6)) for r in boosted.orderBy("rank").collect()] == [("b", 14.4), ("a", 2.7), ("c", 0.3)]
+    assert [r["doc_id"] for r in search.score_floor(boosted).collect()] == ["b"]
+
+
 def measured(spark, retrieved, relevant, k):
     got = spark.createDataFrame([(1, d, n) for n, d in enumerate(retrieved, 1)], "query_id int, doc_id string, rank int")
     qrels = spark.createDataFrame([(1, d) for d in relevant], "query_id int, doc_id string")
     row = evaluate.metrics(spark.createDataFrame([(1,)], "query_id int"), got, qrels, k).first()
-    return {m: round(row[m], 6) for m in ("precision", "recall", "f1", "ndcg", "reciprocal_rank")}
+    return {m: round(row[m], 6) for m in ("precision", "recall", "f1", "ndcg", "reciprocal_rank")} | ({"short": row["precision_short"]} if k == 10 else {})
 
 
 def test_metrics(spark):

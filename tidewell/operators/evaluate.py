@@ -16,27 +16,32 @@ def judged(retrieved: DataFrame, qrels: DataFrame) -> DataFrame:
     return retrieved.join(relevant, ["query_id", "doc_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
+#: The shorter list whose precision reports show besides.
+SHORT = 5
+
+
 def metrics(queries: DataFrame, retrieved: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
-    """Per query: ``precision``, ``recall``, ``f1``, ``ndcg`` at k, and ``reciprocal_rank`` over the whole list."""
+    """Per query: ``precision``, ``recall``, ``f1``, ``ndcg`` at k, ``precision_short``, and ``reciprocal_rank`` over the whole list."""
     inside = F.col("rank") <= k
     per_query = judged(retrieved, qrels).groupBy("query_id").agg(
         F.sum(F.when(inside & F.col("hit"), 1).otherwise(0)).alias("hits"),
+        F.sum(F.when((F.col("rank") <= SHORT) & F.col("hit"), 1).otherwise(0)).alias("short_hits"),
         F.sum(F.when(inside & F.col("hit"), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"),
         F.min(F.when(F.col("hit"), F.col("rank"))).alias("first_hit"))
     relevant = qrels.select("query_id", "doc_id").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n_relevant"))
-    joined = queries.select("query_id").join(per_query, "query_id", "left").join(relevant, "query_id", "left").fillna(0, ["hits", "dcg", "n_relevant"])
+    joined = queries.select("query_id").join(per_query, "query_id", "left").join(relevant, "query_id", "left").fillna(0, ["hits", "short_hits", "dcg", "n_relevant"])
     hits, n = F.col("hits"), F.col("n_relevant")
     precision = hits / F.lit(k) if k > 0 else F.lit(0.0)
     recall = F.when((n > 0) & F.lit(k > 0), hits / n).otherwise(0.0)
     best = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(n.cast("int"), F.lit(max(k, 1))))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
-    both = joined.select("query_id", "n_relevant", precision.cast("double").alias("precision"), recall.alias("recall"),
+    both = joined.select("query_id", "n_relevant", precision.cast("double").alias("precision"), (F.col("short_hits") / SHORT).alias("precision_short"), recall.alias("recall"),
                          F.when((n > 0) & F.lit(k > 0), F.col("dcg") / best).otherwise(0.0).alias("ndcg"),
                          F.coalesce(1 / F.col("first_hit"), F.lit(0.0)).alias("reciprocal_rank"))
     f1 = F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
     return both.withColumn("f1", f1)
 
 
-MEASURES = ("precision", "recall", "f1", "ndcg")
+MEASURES = ("precision_short", "precision", "recall", "f1", "ndcg")
 
 
 def details(measured: DataFrame) -> DataFrame:

@@ -277,19 +277,19 @@ def _measures(name: str, k1: str = "1.2::DOUBLE", b: str = "0.9::DOUBLE") -> str
     scores = _scores(BATCH, TOKENS, k1=k1, b=b)
     return f"""{name} AS (WITH {scores},
     rel AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), n AS (SELECT count(*) AS n_rel FROM rel),
-    per AS (SELECT query_id, count(*) FILTER (rank <= 10 AND rel.doc_id IS NOT NULL) AS hits, sum(1 / log2(rank + 1)) FILTER (rank <= 10 AND rel.doc_id IS NOT NULL) AS dcg,
+    per AS (SELECT query_id, count(*) FILTER (rank <= 10 AND rel.doc_id IS NOT NULL) AS hits, count(*) FILTER (rank <= 5 AND rel.doc_id IS NOT NULL) AS short_hits, sum(1 / log2(rank + 1)) FILTER (rank <= 10 AND rel.doc_id IS NOT NULL) AS dcg,
         min(rank) FILTER (rel.doc_id IS NOT NULL) AS first_hit FROM (SELECT * FROM ranked WHERE rank <= 20) LEFT JOIN rel USING (doc_id) GROUP BY query_id),
-    full_ AS (SELECT q.query_id, coalesce(hits, 0) AS hits, coalesce(dcg, 0) AS dcg, first_hit, n_rel FROM q LEFT JOIN per USING (query_id), n)
-    SELECT query_id, hits / 10 AS precision, hits / n_rel AS recall, CASE WHEN hits > 0 THEN 2 * (hits / 10) * (hits / n_rel) / (hits / 10 + hits / n_rel) ELSE 0 END AS f1,
+    full_ AS (SELECT q.query_id, coalesce(hits, 0) AS hits, coalesce(short_hits, 0) AS short_hits, coalesce(dcg, 0) AS dcg, first_hit, n_rel FROM q LEFT JOIN per USING (query_id), n)
+    SELECT query_id, hits / 10 AS precision, short_hits / 5 AS precision_short, hits / n_rel AS recall, CASE WHEN hits > 0 THEN 2 * (hits / 10) * (hits / n_rel) / (hits / 10 + hits / n_rel) ELSE 0 END AS f1,
         dcg / list_sum(list_transform(range(1, least(n_rel, 10) + 1), lambda i: 1 / log2(i + 1))) AS ndcg, coalesce(1 / first_hit, 0) AS rr FROM full_)"""
 
 
 def _means(of: str) -> str:
-    names = ("precision", "recall", "f1", "ndcg")
+    names = evaluate.MEASURES
     return "count(*) AS n_queries, " + ", ".join(f"round(avg(round({n}, 4)), {DIGITS}) AS avg_{n}" for n in names) + f", round(avg(rr), {DIGITS}) AS mrr FROM {of}"
 
 
-_LONG = " UNION ALL ".join(f"SELECT '{n}' AS measure, a.{n} AS first, b.{n} AS second FROM a, b" for n in ("avg_precision", "avg_recall", "avg_f1", "avg_ndcg", "mrr"))
+_LONG = " UNION ALL ".join(f"SELECT '{n}' AS measure, a.{n} AS first, b.{n} AS second FROM a, b" for n in (*(f"avg_{m}" for m in evaluate.MEASURES), "mrr"))
 _GRID_ROWS = [(100 * n + q, text, k1, b) for n, (k1, b) in enumerate(GRID) for q, text in BATCH[:3]]
 _TECH = r"'\d+[a-z]*|[a-z]+\d+|pro|max|ultra|plus|mini|gb|tb|mah'"
 _WEIGHT = ("CASE WHEN n = 0 THEN 0.5 WHEN t / n >= 0.5 THEN {} WHEN n >= 5 AND t / n <= 0.2 THEN {} WHEN t > 0 THEN {} ELSE 0.5 END::DOUBLE")
