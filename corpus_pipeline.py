@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import exact_dedup, langid, packing, pii, simhash
-from tidewell.llm.common import cut, documents, free_name, small, tokenizer_file
+from tidewell.llm.common import cut, documents, free_name, small, tokenizer_file, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def _without(docs: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = free_name(docs, "row")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    flags = exact_dedup.exact_duplicates(numbered, keep="smallest", row_col=row)
+    flags = exact_dedup.exact_duplicates(numbered, keep="largest", row_col=row)
     return _without(numbered, row, cut(flags.where("not kept").select("row")))
 
 
@@ -65,6 +65,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        # Each stage's rows are written to the shared folder and read again.
-        docs = cut(stage(spark, docs, sf_dir))
+        # Each stage's rows are written to the shared folder as parquet and read again.
+        docs = written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
