@@ -122,8 +122,8 @@ def count_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anti_join_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return dedup.unseen(table(spark, sf_dir, "customer"), orders, "c_custkey").select("c_custkey", "c_name")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return dedup.unseen(table(spark, sf_dir, "orders"), lines, "o_orderkey").select("o_orderkey", "o_custkey")
 
 
 def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +183,7 @@ ORACLE_SQL = {
     "dedup_report": f"""WITH {_LINES}, f AS (SELECT l_returnflag, count(*) AS before, count(DISTINCT (l_orderkey, l_linenumber)) AS after FROM l GROUP BY ALL),
         r AS (SELECT * FROM f UNION ALL SELECT NULL, sum(before)::BIGINT, sum(after)::BIGINT FROM f) SELECT *, before - after AS removed, round((before - after) * 100.0::DOUBLE / before, 2) AS percent FROM r""",
     "count_by_source": "SELECT coalesce(source, 'unknown') AS source, count(*) AS n FROM documents GROUP BY ALL",
-    "anti_join_unseen": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "anti_join_unseen": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
     "json_fields": "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events",
     "crawl_stats": """WITH last AS (SELECT * FROM events ORDER BY event_id DESC LIMIT 1)
         SELECT (SELECT count(DISTINCT o_custkey) FROM orders) AS total_crawled_products, (SELECT count(DISTINCT user_id) FROM events WHERE event_type = 'purchase') AS completed_categories,

@@ -73,7 +73,7 @@ def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_repeated_term(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(ranking.bm25(batch(spark, [(1, "license"), (2, "license license")]), document_index(spark, sf_dir), 10))
+    return shown(ranking.bm25(batch(spark, [(1, "with"), (2, "with with")]), document_index(spark, sf_dir), 10))
 
 
 def bm25_tune_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,7 +304,7 @@ ORACLE_SQL = {
     "postings_lists": f"WITH {TOKENS} SELECT term, count(*) AS df, md5(string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id)) AS postings_md5 FROM tf GROUP BY term",
     "bm25_topk": f"WITH {_scores([(1, 'that license from')])} {SHOWN} 10",
     "bm25_batch": f"WITH {_scores(BATCH)} {SHOWN} 10",
-    "bm25_repeated_term": f"WITH {_scores([(1, 'license'), (2, 'license license')])} {SHOWN} 10",
+    "bm25_repeated_term": f"WITH {_scores([(1, 'with'), (2, 'with with')])} {SHOWN} 10",
     "bm25_tune_grid": f"WITH {_scores(_GRID_ROWS, more=', k1, b', k1='k1', b='b')} {SHOWN} 6",
     "intent_weights_turns": rf"""WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM conversations),
         c AS (SELECT conv_id, turn, len(w) AS n, len(list_filter(w, lambda x: regexp_matches(x, {_TECH}))) AS t FROM w)
