@@ -37,6 +37,8 @@ from tidewell.llm.common import cut
 WIDTH, BUDGET, SEED = 4, 4, 42
 #: Fingerprints that one task compares with each other at most.
 CELL = 2048
+#: Hashes whose bits are counted at once.
+BLOCK = 65_536
 #: Rows joined at once within a task, and pairs compared at once.
 CHUNK, PAIRS = 100_000, 1_000_000
 
@@ -59,9 +61,9 @@ def shingle_hashes(text: str | None, width: int) -> bytes:
 def fingerprint(hashes: bytes) -> int:
     if not hashes:
         return 0
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
-    total = sum(part.sum(axis=0, dtype=np.int64) for part in np.array_split(bits, 1 + len(bits) // 65_536))
-    return int.from_bytes(np.packbits(total * 2 > len(bits)).tobytes(), "big")
+    rows = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
+    total = sum(np.unpackbits(rows[k: k + BLOCK], axis=1).sum(axis=0, dtype=np.int64) for k in range(0, len(rows), BLOCK))
+    return int.from_bytes(np.packbits(total * 2 > len(rows)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, row_col: str | None = None) -> DataFrame:
