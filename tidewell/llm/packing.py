@@ -20,6 +20,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,6 @@ CAPACITY, CLOSING_ID = 2048, 0
 NODES, FILLINGS = 10_000, 24
 #: With more pieces left than this, a filling is used as often as it can be.
 FEW = 200
-#: Pieces in a bucket of the ranking.
-BUCKET = 20_000
 
 #: A plan: (lengths with their counts, how many sequences look like that).
 Plan = list[tuple[dict[int, int], int]]
@@ -242,7 +241,8 @@ def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     table = slots(complete(counts, capacity, nodes))
     where = spark.createDataFrame(table, "slot_length long, first_rank long, end_rank long, each long, first_sequence long, place long")
 
-    buckets = 1 + sum(counts.values()) // BUCKET
+    # The square root balances a hot length's share of a bucket against the number of buckets that a length is summed over.
+    buckets = 1 + isqrt(sum(counts.values()))
     dealt = cut_pieces.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
     ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row")) - 1)
     sizes = dealt.groupBy("length", "bucket").count()
