@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 LEAF = 64
 #: Pieces remembered in a worker, about 250 bytes each; beyond it the memory starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: A piece longer than this isn't remembered.
 LONGEST_REMEMBERED = 256
 
