@@ -144,23 +144,23 @@ def blocks(bits: int, parts: int) -> list[tuple[int, int]]:
     return [(sum(widths[:k]), w) for k, w in enumerate(widths)]
 
 
-def _divided(rows: DataFrame, fixed: int, budget: int) -> tuple[DataFrame, dict[int, int]]:
+def _divided(rows: DataFrame, fixed: int, budget: int) -> DataFrame:
     """Each row once for each block of its bits after the first ``fixed``, with that block moved to the front of them."""
     rest = 64 - fixed
     mask = (1 << rest) - 1 if rest < 64 else -1
-    cells, widths = [], {}
+    cells = []
     for k, (offset, width) in enumerate(blocks(rest, budget + 1)):
         tail = F.col("code").bitwiseAND(F.lit(mask))
         turned = tail if not offset else F.shiftleft(tail, offset).bitwiseOR(F.shiftrightunsigned(tail, rest - offset)).bitwiseAND(F.lit(mask))
         code = turned if not fixed else F.col("code").bitwiseAND(F.lit(~mask)).bitwiseOR(turned)
         cells.append(F.struct((F.col("trie") * (budget + 1) + k).alias("trie"), code.alias("code"), F.lit(fixed + width).alias("fixed")))
     parts = rows.select("fp", F.explode(F.array(*cells)).alias("c")).select("fp", "c.*")
-    return parts.withColumn("prefix", F.call_function("shiftrightunsigned", F.col("code"), F.lit(64) - F.col("fixed"))), widths
+    return parts.withColumn("prefix", F.call_function("shiftrightunsigned", F.col("code"), F.lit(64) - F.col("fixed")))
 
 
 def links(distinct: DataFrame, budget: int = BUDGET, cell: int = CELL) -> DataFrame:
     """``(u, v)`` fingerprints: within each partition a spanning forest of the links."""
-    rows, _ = _divided(distinct.select("fp", F.col("fp").alias("code"), F.lit(0).cast("long").alias("trie")), 0, budget)
+    rows = _divided(distinct.select("fp", F.col("fp").alias("code"), F.lit(0).cast("long").alias("trie")), 0, budget)
     ready = []
     while True:
         large = cut(rows.groupBy("trie", "fixed", "prefix").count().where(F.col("count") > cell).drop("count"))
@@ -173,7 +173,7 @@ def links(distinct: DataFrame, budget: int = BUDGET, cell: int = CELL) -> DataFr
         next_rows = []
         for (fixed,) in again.select("fixed").distinct().collect():
             if fixed < 64:
-                next_rows.append(_divided(again.where(F.col("fixed") == fixed).select("fp", "code", "trie"), fixed, budget)[0])
+                next_rows.append(_divided(again.where(F.col("fixed") == fixed).select("fp", "code", "trie"), fixed, budget))
         rows = next_rows[0]
         for more in next_rows[1:]:
             rows = rows.unionByName(more)
