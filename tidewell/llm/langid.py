@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 
 ROWS, CHARS, LANGUAGES, BLOCK = 96, 384, 64, 512
 #: Bytes of text parsed side by side.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 UNDETERMINED = "und"
 #: A text is foreign to all languages if even the best needs a phrase for fewer than two bytes, beyond a few phrases.
 FOREIGN, FEW_PHRASES = 0.5, 8
@@ -112,7 +112,7 @@ class Parser:
         self.names = model.names
         used = sorted(set(b"".join(model.samples)) | {32})
         width = len(used) + 1
-        self.code = np.zeros(256, np.int64)
+        self.code = np.zeros(256, np.int16)
         self.code[used] = np.arange(1, width)
         self.space = self.code[32]
         tables, roots, base = [], [], 0
@@ -120,18 +120,24 @@ class Parser:
             moves = suffix_automaton(sample)
             # The last state has no phrase open: texts begin there, and characters the sample lacks lead there.
             none = len(moves)
-            own = np.full((none + 1, width), -1, np.int64)
+            own = np.full((none + 1, width), -1, np.int32)
             for state, to in enumerate(moves):
-                for c, target in to.items():
-                    own[state, self.code[c]] = target
-            start = np.where(own[0] < 0, none, own[0])
-            follows = (np.where(own < 0, start, own) * width + base) << 1
-            tables.append((follows | (own < 0)).ravel())
+                own[state, self.code[list(to)]] = list(to.values())
+            del moves
+            # In place, as the table is the largest thing a worker holds.
+            broken = own < 0
+            start = np.where(broken[0], none, own[0])
+            np.copyto(own, start, where=broken)
+            own *= width
+            own += base
+            own <<= 1
+            own |= broken
+            tables.append(own.ravel())
             roots.append(base + none * width)
             base += own.size
-        if base << 1 >= 1 << 31:
-            raise ValueError("the samples are too large for one table")
-        self.table = np.concatenate(tables).astype(np.int32) if tables else np.zeros(0, np.int32)
+            if base << 1 >= 1 << 31:
+                raise ValueError("the samples are too large for one table")
+        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
         self.roots = np.array(roots, np.int64)
         self.weight = np.log2([len(s) + 1 for s in model.samples]) if tables else np.zeros(0)
 
