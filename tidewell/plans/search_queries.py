@@ -29,8 +29,14 @@ def batch(spark: SparkSession, rows: list | None = None) -> DataFrame:
     return spark.createDataFrame(rows or BATCH, "query_id int, query string")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan in fewer partitions than there are cores (few row groups) dealt over the cores; a larger one as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def document_index(spark: SparkSession, sf_dir: str) -> index.Index:
-    return index.build(table(spark, sf_dir, "documents"), F.col("text"))
+    return index.build(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), F.col("text"))
 
 
 def shown(ranked: DataFrame) -> DataFrame:
