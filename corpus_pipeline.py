@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import exact_dedup, langid, packing, pii, simhash
+from tidewell.llm import exact_dedup, jaccard, langid, packing, pii
 from tidewell.llm.common import cut, documents, free_name, small, tokenizer_file, written
 
 
@@ -38,8 +38,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = free_name(docs, "row")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    flags = simhash.near_duplicates(numbered, row_col=row)
-    return _without(numbered, row, cut(flags.where("not kept").select("row")))
+    return _without(numbered, row, cut(jaccard.near_duplicates(numbered, row)))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +57,7 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: Trie joins, sanitisation and packing aren't expressible in SQL; the tests hold stages against brute force.
+#: Near-duplicate joins, sanitisation and packing aren't expressible in SQL; the tests hold stages against brute force.
 ORACLE_SQL = None
 
 

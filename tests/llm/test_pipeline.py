@@ -6,7 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from tidewell.llm import pii
+from tidewell.llm import jaccard, pii
 
 SF = "/root/testdata/sf0.001"
 driver_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are absent")
@@ -45,3 +45,37 @@ def test_whole_pipeline(spark):
     assert packed <= set(last.values()) and len(packed) >= 0.97 * len(last)
     assert len({(r["doc_id"], r["piece"]) for r in rows}) == len(rows)
     assert all(not pii.base_spans(pii.masked(t, pii.base_spans(t))) for t in texts.values())
+
+
+def shingles_of(text):
+    words = re.sub("[A-Z]", lambda m: m[0].lower(), text).split()
+    return {tuple(words[k: k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def components_by_jaccard(texts):
+    sets, label = [shingles_of(t) for t in texts], list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = label[a], label[b]
+                label = [min(x, y) if c in (x, y) else c for c in label]
+    return set(label)
+
+
+def test_near_stage_finds_every_pair_of_high_jaccard(spark, table, rng):
+    """Copies with edits down to 0.8, a chain of them, and a large group: as by brute force."""
+    words = ["".join(rng.choice("etaoins") for _ in range(5)) for _ in range(500)]
+    texts = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(20)]
+    for k in range(20):
+        for edits in range(1, 6):
+            copy = texts[k].split(" ")
+            for at in rng.sample(range(200), edits):
+                copy[at] = "changed"
+            texts.append(" ".join(copy))
+    texts += [texts[0] + f" end {k}" for k in range(60)] + ["a b", "A  b", "a c"]
+    chain = [rng.choice(words) for _ in range(200)]
+    for k in range(12):
+        texts.append(" ".join(chain[9 * k:] + [f"new{n}" for n in range(9 * k)]))
+    kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, table(texts), "")
+    want = components_by_jaccard(texts)
+    assert {r["doc_id"] for r in kept.collect()} == want and len(want) < len(texts) - 100
