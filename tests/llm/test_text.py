@@ -99,6 +99,17 @@ def test_disclosing_terms_against_direct_counts(spark, table, rng):
     assert "boss@" not in kept[0] and "chairman" not in kept[0] and "[EMAIL]" in kept[3] and "unique" in kept[3]
 
 
+def test_disclosing_terms_are_masked_in_the_whole_text(spark, table):
+    """A short name and one with digits, far from the value, wherever they stand in the texts that hold it."""
+    common = "people often write letters about things"
+    value = f"Li x9 {common} {common} {common} {common} {common} first@corp.example.com {common} {common} {common} {common} Li signed"
+    texts = [value, value + " twice", f"Li {common}", *[f"{common} number {k % 3}" for k in range(300)]]
+    kept = {r["doc_id"]: r["text"] for r in pii.sanitise(table(texts)).collect()}
+    for k in (0, 1):
+        assert "Li" not in kept[k] and "x9" not in kept[k] and kept[k].count(common) == 9 and "first@" not in kept[k]
+    assert all(kept[k] == texts[k] for k in range(2, 303))
+
+
 def test_masking_overlaps():
     assert pii.masked("call +1 234 567 8901 now", [(5, 3, 20), (6, 2, 20)]) == "call [PHONE] now"
     assert pii.masked(None, []) is None

@@ -1,14 +1,14 @@
 """Personal data: patterns, and terms that reveal them by information-theoretic sanitisation.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers in whole texts. Each value found is a protected
-entity a. Terms within ``WINDOW`` words of it are candidates c. Over all documents n(a), n(c) and n(a, c) (documents in
-which c stands near a) are counted; with N documents, PMI(a; c) = log(N n(a,c) / (n(a) n(c))) is the information c gives
-about a, out of IC(a) = log(N / n(a)). A term that gives at least ``GENERALISE`` of it is generalised near that entity, one
-that gives at least ``REMOVE`` is removed, provided that both were seen together in ``SUPPORT`` documents. Terms
-elsewhere and documents without entities are left alone.
+entity a; the terms (runs of letters and digits) of the documents that hold it are candidates c. Over all documents n(a),
+n(c) and n(a, c) are counted; with N documents, PMI(a; c) = log(N n(a,c) / (n(a) n(c))) is the information c gives
+about a, out of IC(a) = log(N / n(a)). In the texts that hold an entity, each occurrence of a term that gives at least
+``GENERALISE`` of its information is generalised, at least ``REMOVE`` removed, provided that both were seen together in ``SUPPORT``
+documents. Documents without entities are left alone.
 
-The counts are partially aggregated group-bys over all documents; only terms that were seen often enough near one
-entity are counted in the whole corpus. Nothing is collected.
+The counts are partially aggregated over all documents. As n(a, c) is at most n(a), a term of more than
+N^(1-g) n(a)^g documents can't disclose a share g; such pairs, nearly all, aren't made. No text or count of pairs is collected.
 
 Defined cases: a null text counts as empty; matches that fail their check are dropped without retrying; rows that
 repeat an id are searched each for itself and counted as documents; an empty table gives an empty result; further
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,8 +31,11 @@ from tidewell.llm.common import cut, free_name, small
 
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("generalise", "remove")
-WINDOW, SUPPORT, GENERALISE, REMOVE = 6, 2, 0.75, 0.95
-SHORTEST_TERM = 4
+SUPPORT, GENERALISE, REMOVE = 2, 0.75, 0.95
+#: Terms of one letter count too (names in scripts without spaces are short).
+SHORTEST_TERM = 1
+#: Distinct terms that a task counts before it passes the counts on.
+TERMS_HELD = 200_000
 
 # The local part is looked up backwards from the @, so that long runs without one cost nothing.
 AT_DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -40,7 +44,7 @@ IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TERM = re.compile(rf"[^\W\d_]{{{SHORTEST_TERM},}}")
+TERM = re.compile(rf"[^\W_]{{{SHORTEST_TERM},}}")
 #: Doubled digits of the Luhn sum.
 LUHN = [2 * d - 9 * (d > 4) for d in range(10)]
 
@@ -84,88 +88,122 @@ def entity(kind: int, value: str) -> str:
     return f"{KINDS[kind]}:{value.lower() if kind < 2 else re.sub('[^0-9]', '', value)}"
 
 
-#: Characters on either side that are searched for ``WINDOW`` terms.
-REACH = 24 * WINDOW
+def entities(text: str, spans: list[Span]) -> list[str]:
+    return sorted({entity(kind, text[start:end]) for start, kind, end in spans})
 
 
-def nearby(text: str, spans: list[Span]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of terms near entities, outside the matches themselves."""
-    taken = [(a, b) for a, _, b in spans]
-    found = []
-    for start, kind, end in spans:
-        name = entity(kind, text[start:end])
-        left, right = max(0, start - REACH), min(len(text), end + REACH)
-        # A word cut by the reach isn't a term.
-        before = [m for m in TERM.finditer(text, left, start) if m.start() > left or left == 0][-WINDOW:]
-        after = [m for m in TERM.finditer(text, end, right) if m.end() < right or right == len(text)][:WINDOW]
-        for m in before + after:
-            if not any(a < m.end() and m.start() < b for a, b in taken):
-                found.append((name, m[0].lower(), m.start(), m.end()))
+def terms(text: str, spans: list[Span]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of each term outside the matches."""
+    found, at, taken = [], 0, 0
+    for m in TERM.finditer(text):
+        # taken: the furthest end of the matches that begin before the term's end.
+        while at < len(spans) and spans[at][0] < m.end():
+            taken = max(taken, spans[at][2])
+            at += 1
+        if m.start() >= taken:
+            found.append((m[0].lower(), m.start(), m.end()))
     return found
 
 
+def nearby(text: str, spans: list[Span]) -> list[tuple[str, str, int, int]]:
+    """(entity, term, start, end): the candidates of a document. Tables keep the two sides apart."""
+    return [(name, *x) for name in entities(text, spans) for x in terms(text, spans)]
+
+
 def digest(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.IntegerType())])
-NEAR = T.StructType([T.StructField("entity", T.StringType()), T.StructField("term", T.StringType()),
-                     T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+NEAR = T.StructType([T.StructField("term", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 ARROW_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-ARROW_NEAR = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+ARROW_NEAR = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
 def scanned(docs: DataFrame, id_col: str, text_col: str, row: Column) -> DataFrame:
-    """``(id, row, spans, near)`` of each row."""
+    """``(id, row, spans, entities, near)`` of each row; near: the terms of rows with entities."""
     chosen = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.col(text_col).alias("text"))
-    schema = T.StructType([chosen.schema[0], chosen.schema[1], T.StructField("spans", T.ArrayType(SPAN)), T.StructField("near", T.ArrayType(NEAR))])
+    schema = T.StructType([chosen.schema[0], chosen.schema[1], T.StructField("spans", T.ArrayType(SPAN)),
+                           T.StructField("entities", T.ArrayType(T.StringType())), T.StructField("near", T.ArrayType(NEAR))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, near = [], []
+            spans, names, near = [], [], []
             for value in batch.column(2):
                 text = value.as_py() or ""
                 own = base_spans(text)
                 spans.append([{"start": a, "kind": k, "end": b} for a, k, b in own])
-                near.append([dict(zip(("entity", "term", "start", "end"), x)) for x in nearby(text, own)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, ARROW_SPAN), pa.array(near, ARROW_NEAR)], names=schema.names)
+                names.append(entities(text, own))
+                near.append([dict(zip(("term", "start", "end"), x)) for x in terms(text, own)] if own else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, ARROW_SPAN), pa.array(names, pa.list_(pa.string())),
+                                              pa.array(near, ARROW_NEAR)], names=schema.names)
 
     return chosen.mapInArrow(run, schema)
 
 
-def disclosing(docs: DataFrame, found: DataFrame, text_col: str, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """``(entity, term, disclosure)`` of the terms that reveal at least ``generalise`` of an entity's information."""
+def term_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """``(term, n_term)``: in how many documents each term occurs, within matches or outside."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def passed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["term", "n"])
+
+        for batch in batches:
+            for value in batch.column(0):
+                held.update({x.lower() for x in set(TERM.findall(value.as_py() or ""))})
+                if len(held) >= TERMS_HELD:
+                    yield passed()
+                    held.clear()
+        yield passed()
+
+    return docs.select(text_col).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+
+
+def candidates(docs: DataFrame, found: DataFrame, text_col: str, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+    """``(row, entity, term, n_entity, n_term)`` of the pairs that may disclose enough.
+
+    Of the entities that no other row holds one stands for all of the row's, as its terms disclose as much of each.
+    """
     total = found.count()
-    # Within a document each entity and pair counts once.
-    near = found.where(F.size("near") > 0)
-    pairs = near.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x"))
-    together = cut(pairs.select("x.*").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support))
-    entities = near.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    terms = together.select("term").distinct()
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+"))).alias("term")).where(F.length("term") >= SHORTEST_TERM)
-    counts = words.join(small(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    joined = together.join(entities, "entity").join(counts, "term", "left")
-    # A term stands in the documents where it stands near the entity, at least.
-    n_term = F.greatest("n_both", F.coalesce("n_term", F.lit(0)))
-    pmi = F.log(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * n_term))
-    content = F.log(F.lit(float(total)) / F.col("n_entity"))
+    near = found.where(F.size("spans") > 0)
+    held = near.select("row", F.explode("entities").alias("entity"))
+    sizes = cut(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.min("row").alias("only")))
+    single = sizes.where("n_entity = 1").groupBy(F.col("only").alias("row")).agg(F.min("entity").alias("entity")).select("row", "entity", F.lit(1).cast("long").alias("n_entity"))
+    several = held.join(small(sizes.where("n_entity > 1").drop("only")), "entity").select("row", "entity", "n_entity")
+    most = sizes.agg(F.max("n_entity")).first()[0] or 0
+    # Slightly more than the bound, as rounding may go either way.
+    bound = F.lit(1.000001 * total ** (1 - generalise))
+    counts = cut(term_counts(docs, text_col).where((F.col("n_term") >= support) & (F.col("n_term") <= bound * float(most) ** generalise)))
+    words = near.select("row", F.explode(F.array_distinct(F.transform("near", lambda x: x["term"]))).alias("term")).join(small(counts), "term")
+    pairs = single.unionByName(several).join(words, "row").where(F.col("n_term") <= bound * F.pow(F.col("n_entity").cast("double"), F.lit(generalise)))
+    return cut(pairs.select("row", "entity", "term", "n_entity", "n_term"))
+
+
+def disclosing(docs: DataFrame, found: DataFrame, text_col: str, support: int = SUPPORT, generalise: float = GENERALISE, pairs: DataFrame | None = None) -> DataFrame:
+    """``(entity, term, disclosure)`` of the terms that reveal at least ``generalise`` of an entity's information."""
+    total = float(found.count())
+    pairs = candidates(docs, found, text_col, support, generalise) if pairs is None else pairs
+    joined = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term")).where(F.col("n_both") >= support)
+    pmi = F.log(F.lit(total) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
+    content = F.log(F.lit(total) / F.col("n_entity"))
     return joined.select("entity", "term", F.when(content > 0, pmi / content).otherwise(0.0).alias("disclosure")).where(F.col("disclosure") >= generalise)
 
 
-def term_spans(found: DataFrame, disclosed: DataFrame, remove: float = REMOVE) -> DataFrame:
+def term_spans(found: DataFrame, pairs: DataFrame, disclosed: DataFrame, remove: float = REMOVE) -> DataFrame:
     """``(row, terms)``: the places in each row of terms to generalise (kind 0) or remove (kind 1)."""
-    near = found.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
-    hit = near.join(disclosed, ["entity", "term"])
-    # A term near two entities is treated by the stronger disclosure.
-    each = hit.groupBy("row", "start", "end").agg(F.max("disclosure").alias("d"))
+    # A term that reveals several entities is treated by the strongest disclosure.
+    hit = pairs.join(disclosed, ["entity", "term"]).groupBy("row", "term").agg(F.max("disclosure").alias("d"))
+    each = found.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*").join(hit, ["row", "term"])
     one = F.struct("start", F.when(F.col("d") >= remove, 1).otherwise(0).alias("kind"), "end")
     return each.groupBy("row").agg(F.sort_array(F.collect_list(one)).alias("terms"))
 
 
 def _searched(docs: DataFrame, id_col: str, text_col: str, row: Column, support: int, generalise: float, remove: float) -> tuple[DataFrame, DataFrame]:
     found = cut(scanned(docs, id_col, text_col, row))
-    disclosed = cut(disclosing(docs, found, text_col, support, generalise))
-    return found, cut(term_spans(found, disclosed, remove))
+    pairs = candidates(docs, found, text_col, support, generalise)
+    disclosed = cut(disclosing(docs, found, text_col, support, generalise, pairs))
+    return found, cut(term_spans(found, pairs, disclosed, remove))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
