@@ -110,6 +110,20 @@ def test_disclosing_terms_are_masked_in_the_whole_text(spark, table):
     assert all(kept[k] == texts[k] for k in range(2, 303))
 
 
+def test_terms_disclose_values_of_one_document(spark, table):
+    """Values seen once, short names and names with digits: a rare term of a text that holds a value is masked in all of it."""
+    common = "people often write letters about things"
+    texts = [f"{common} number {k % 3}" for k in range(300)]
+    texts[0] = f"Li x9 {common} {common} {common} {common} {common} first@corp.example.com {common} {common} {common} {common} Li signed"
+    texts[1] = f"Li {common}"
+    texts[2] = f"x9 {common}"
+    kept = {r["doc_id"]: r["text"] for r in pii.sanitise(table(texts)).collect()}
+    assert "Li" not in kept[0] and "x9" not in kept[0] and kept[0].count(common) == 9 and "first@" not in kept[0]
+    assert "signed" in kept[0] and all(kept[k] == texts[k] for k in range(1, 300))
+    rows = {r["doc_id"]: r["n_terms"] for r in pii.find(table(texts)).collect()}
+    assert rows[0] == 3 and not any(rows[k] for k in range(1, 300))
+
+
 def test_masking_overlaps():
     assert pii.masked("call +1 234 567 8901 now", [(5, 3, 20), (6, 2, 20)]) == "call [PHONE] now"
     assert pii.masked(None, []) is None

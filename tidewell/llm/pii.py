@@ -4,8 +4,9 @@ Patterns find e-mail addresses, IP addresses, card and phone numbers in whole te
 entity a; the terms (runs of letters and digits) of the documents that hold it are candidates c. Over all documents n(a),
 n(c) and n(a, c) are counted; with N documents, PMI(a; c) = log(N n(a,c) / (n(a) n(c))) is the information c gives
 about a, out of IC(a) = log(N / n(a)). In the texts that hold an entity, each occurrence of a term that gives at least
-``GENERALISE`` of its information is generalised, at least ``REMOVE`` removed, provided that both were seen together in ``SUPPORT``
-documents. Documents without entities are left alone.
+``GENERALISE`` of its information is generalised, at least ``REMOVE`` removed, provided that the term occurs in ``SUPPORT``
+documents: a term of one document leads to no other text, and in its own the value is masked. An entity may be seen
+in one document only. Documents without entities are left alone.
 
 The counts are partially aggregated over all documents. As n(a, c) is at most n(a), a term of more than
 N^(1-g) n(a)^g documents can't disclose a share g; such pairs, nearly all, aren't made. No text or count of pairs is collected.
@@ -184,7 +185,7 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str, support: int =
     """``(entity, term, disclosure)`` of the terms that reveal at least ``generalise`` of an entity's information."""
     total = float(found.count())
     pairs = candidates(docs, found, text_col, support, generalise) if pairs is None else pairs
-    joined = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term")).where(F.col("n_both") >= support)
+    joined = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
     pmi = F.log(F.lit(total) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     content = F.log(F.lit(total) / F.col("n_entity"))
     return joined.select("entity", "term", F.when(content > 0, pmi / content).otherwise(0.0).alias("disclosure")).where(F.col("disclosure") >= generalise)
