@@ -137,6 +137,16 @@ def test_bin_completion_is_optimal(rng):
     assert packing.bins(packing.complete(hard, 10)) == 2 <= packing.bins(packing.best_fit(hard, 10))
 
 
+def test_fillings_after_the_first_perfect_one_are_tried(rng):
+    """10, 6, 4 is part of the only kind of optimum; 10, 7, 3 is as full and met first."""
+    items = [10, 9, 9, 8, 7, 6, 4, 4, 3]
+    assert packing.bins(packing.complete(dict(Counter(items)), 20)) == 3 < packing.bins(packing.best_fit(dict(Counter(items)), 20))
+    for _ in range(100):
+        cuts = [sorted(rng.sample(range(1, 20), 2)) for _ in range(3)]
+        items = [x for a, b in cuts for x in (a, b - a, 20 - b)]
+        assert packing.bins(packing.complete(dict(Counter(items)), 20)) == 3
+
+
 @driver_tables
 def test_packing_query(spark):
     library = Tokenizer.from_file(WORDS)

@@ -6,7 +6,7 @@ their place by their rank among the pieces of equal length. Ranks are dealt over
 length that a third of all pieces share is spread like any other.
 
 Bin completion: the largest length left opens a sequence, and the undominated fillings of what remains of it are
-tried, fullest first; a filling is dominated if more fits, or a longer piece fits in the place of one or two of its
+tried, some of them fullest first and then all others; a filling is dominated if more fits, or a longer piece fits in the place of one or two of its
 pieces. A branch ends when its waste exceeds what a plan better than the best known could waste. The first plan
 known is best-fit decreasing's; the search ends when a plan meets a lower bound (Martello and Toth's L2), or
 after ``NODES`` nodes. While many pieces are left a filling is used as often as it can be.
@@ -32,7 +32,7 @@ from tidewell.llm.bpe import WordBpe, encoder
 from tidewell.llm.common import cut
 
 CAPACITY, CLOSING_ID = 2048, 0
-#: Nodes of the search, and fillings tried at a node.
+#: Nodes of the search (steps towards further fillings count too), and fillings of a node that are sorted and tried first.
 NODES, FILLINGS = 10_000, 24
 #: With more pieces left than this, a filling is used as often as it can be.
 FEW = 200
@@ -74,40 +74,35 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     return [x for group in open_bins.values() for x in group]
 
 
-def fillings(counts: dict[int, int], lengths: list[int], room: int, most: int) -> list[dict[int, int]]:
-    """Undominated fillings of ``room``, fullest first. lengths: those with pieces left, falling."""
-    found: list[tuple[int, dict[int, int]]] = []
-    steps = 0
-
-    def search(at: int, left: int, chosen: dict[int, int]) -> bool:
-        nonlocal steps
-        steps += 1
-        while at < len(lengths) and lengths[at] > left:
+def fillings(counts: dict[int, int], lengths: list[int], room: int) -> Iterator[tuple[int, dict[int, int]] | None]:
+    """All undominated fillings of ``room`` with what they leave; None for each step between. lengths: those with pieces left, falling."""
+    chosen: dict[int, int] = {}
+    taken: list[list[int]] = []
+    at, left = 0, room
+    while True:
+        while at < len(lengths):
+            length = lengths[at]
+            if length <= left:
+                k = min(counts[length], left // length)
+                chosen[length] = k
+                taken.append([at, k])
+                left -= k * length
+                yield None
             at += 1
-        if at == len(lengths):
-            if not _dominated(counts, lengths, chosen, left):
-                found.append((left, dict(chosen)))
-            return left == 0 and len(found) >= 1 or len(found) >= most or steps > 50 * most
+        if not _dominated(counts, lengths, chosen, left):
+            yield left, dict(chosen)
+        if not taken:
+            return
+        at, k = taken[-1]
         length = lengths[at]
-        for k in range(min(counts[length], left // length), -1, -1):
-            if k:
-                chosen[length] = k
-            elif length in chosen:
-                del chosen[length]
-            if search(at + 1, left - k * length, chosen):
-                chosen.pop(length, None)
-                return True
-        return False
-
-    search(0, room, {})
-    if not found:
-        # Every filling met within the steps was dominated: take pieces greedily.
-        chosen, left = {}, room
-        for length in lengths:
-            if k := min(counts[length], left // length):
-                chosen[length], left = k, left - k * length
-        found = [(left, chosen)]
-    return [c for _, c in sorted(found, key=lambda x: x[0])]
+        left += length
+        if k > 1:
+            taken[-1][1] = chosen[length] = k - 1
+        else:
+            taken.pop()
+            del chosen[length]
+        at += 1
+        yield None
 
 
 def _dominated(counts: dict[int, int], lengths: list[int], chosen: dict[int, int], slack: int) -> bool:
@@ -152,16 +147,35 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> Plan:
     waste, visited = 0, 0
     stack: list[Iterator] = []
 
-    def options() -> Iterator[tuple[dict[int, int], int]]:
-        lengths = [x for x in sorted(state, reverse=True) if state[x]]
-        first = lengths[0]
-        state[first] -= 1
-        found = fillings(state, [x for x in lengths if state[x]], capacity - first, FILLINGS)
-        state[first] += 1
-        for chosen in found:
+    def options() -> Iterator[tuple[dict[int, int], int] | tuple[()]]:
+        # What is left when the node opens, as deeper nodes use the state.
+        own = Counter({x: n for x, n in state.items() if n})
+        first, pieces_left = max(own), sum(own.values())
+        own[first] -= 1
+        lengths = sorted((x for x in own if own[x]), reverse=True)
+        found = fillings(own, lengths, capacity - first)
+
+        def option(chosen: dict[int, int]) -> tuple[dict[int, int], int]:
             pattern = {**chosen, first: chosen.get(first, 0) + 1}
-            often = min(state[x] // k for x, k in pattern.items()) if sum(state.values()) > FEW else 1
-            yield pattern, often
+            return pattern, min(state[x] // k for x, k in pattern.items()) if pieces_left > FEW else 1
+
+        # Some are sorted and tried first; then come all others as they are found.
+        head: list[tuple[int, dict[int, int]]] = []
+        for _, x in zip(range(50 * FILLINGS), found):
+            if x is not None:
+                head.append(x)
+                if x[0] == 0 or len(head) == FILLINGS:
+                    break
+        if not head:
+            # Every filling met so far was dominated: take pieces greedily.
+            chosen, left = {}, capacity - first
+            for length in lengths:
+                if k := min(own[length], left // length):
+                    chosen[length], left = k, left - k * length
+            head = [(left, chosen)]
+        yield from (option(c) for _, c in sorted(head, key=lambda x: x[0]))
+        for x in found:
+            yield () if x is None else option(x[1])
 
     stack.append(options())
     while stack and visited < nodes:
@@ -175,6 +189,8 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> Plan:
                     state[x] += k * often
             continue
         visited += 1
+        if not step:
+            continue
         pattern, often = step
         more = (capacity - sum(a * k for a, k in pattern.items())) * often
         if waste + more > (bins(best) - 1) * capacity - total:
