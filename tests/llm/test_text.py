@@ -225,6 +225,21 @@ def test_held_out_rows_and_missing_letters(spark):
     assert langid.fit(other) == model
 
 
+def test_every_labelled_language_is_learned(spark, rng):
+    """Seventy languages, one of them with few texts that have letters among many rows, in one table or in many."""
+    words = {f"l{n:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for n in range(70)}
+    rows = [(lang, " ".join(rng.choice(own) for _ in range(12))) for lang, own in words.items() for _ in range(5 if lang > "l05" else 9)]
+    rows += [("few", "12 34")] * 20_000 + [("few", "ééé üüü ößß")] * 4
+    docs = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert set(model.names) == {*words, "few"}
+    texts = [" ".join(own) for own in words.values()] + ["ééé üüü"]
+    one, many = langid.Parser(model), langid.Parser(model, cells=50_000)
+    assert len(one.tables) == 1 and len(many.tables) > 3
+    assert one.predict(texts)[0] == many.predict(texts)[0] == [*words, "few"]
+    assert (one.phrases([t.encode() for t in texts])[0] == many.phrases([t.encode() for t in texts])[0]).all()
+
+
 def test_payloads_survive_the_store(rng):
     payloads = [jpeg_store.payload_of(t)[0] for t in (None, "", "a" * 192, "ÿ\xff" * 300, "x" * 600_000)]
     payloads += [rng.randbytes(1920), bytes([0, 255] * 96), bytes([255] * 192)]

@@ -13,7 +13,7 @@ text's length. A phrase ends at a block's end, which adds at most one phrase per
 all languages.
 
 Bounds of the fit: ``ROWS`` labelled rows a language, chosen by a hash of the id, up to ``CHARS``
-characters of each, at most ``LANGUAGES`` languages (those with most rows). Predictions read whole texts.
+characters of each; every labelled language is learned. Predictions read whole texts.
 
 Defined cases: a null text or one without a letter gives ``und`` with score 0, as does every text if
 nothing is labelled; ties go to the language with more labelled rows, then by name; an empty table
@@ -23,6 +23,7 @@ gives an empty result; further columns are passed through untouched.
 from __future__ import annotations
 
 import re
+import tempfile
 from collections import namedtuple
 from collections.abc import Iterator
 
@@ -33,7 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-ROWS, CHARS, LANGUAGES, BLOCK = 96, 384, 64, 512
+from tidewell.llm.common import small
+
+ROWS, CHARS, BLOCK = 96, 384, 512
+#: Cells of one table; further languages have tables of their own, kept in temporary files.
+CELLS = 1 << 27
 #: Bytes of text parsed side by side.
 BATCH_BYTES = 1 << 20
 UNDETERMINED = "und"
@@ -51,14 +56,15 @@ def held_out(id_col: Column) -> Column:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
-        F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+        F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")) & F.col("text").rlike(r"\p{L}"))
+    # One row a language.
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return Model((), ())
     place = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), F.lit(1 << 30))
     # The hash leaves a few times ROWS rows of each language; only those are ranked.
-    reach = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], int(min(1, 4 * ROWS / r["count"]) * (1 << 30)))))
-    near = rows.withColumn("place", place).where(F.col("place") < F.element_at(reach, F.col("lang"))).where("text rlike '\\\\p{L}'")
+    reach = docs.sparkSession.createDataFrame([(r["lang"], int(min(1, 4 * ROWS / r["count"]) * (1 << 30))) for r in counts], "lang string, reach long")
+    near = rows.withColumn("place", place).join(small(reach), "lang").where("place < reach")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "id", "text"))
     chosen = near.withColumn("rank", rank).where(F.col("rank") <= ROWS).select("lang", "rank", F.substring("text", 1, CHARS).alias("text")).collect()
     samples = {r["lang"]: [] for r in counts}
@@ -108,18 +114,33 @@ def suffix_automaton(data: bytes) -> list[dict[int, int]]:
 class Parser:
     """Counts phrases of many texts at once against every language of a model."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, cells: int = CELLS):
         self.names = model.names
         used = sorted(set(b"".join(model.samples)) | {32})
         width = len(used) + 1
         self.code = np.zeros(256, np.int16)
         self.code[used] = np.arange(1, width)
         self.space = self.code[32]
-        tables, roots, base = [], [], 0
+        #: (table, roots) of languages in turn.
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
+        held, roots, base = [], [], 0
+
+        def close() -> None:
+            table = np.concatenate(held)
+            if self.tables:
+                with tempfile.TemporaryFile() as file:
+                    table.tofile(file)
+                    file.flush()
+                    table = np.memmap(file, np.int32, "r", shape=table.shape)
+            self.tables.append((table, np.array(roots, np.int64)))
+
         for sample in model.samples:
             moves = suffix_automaton(sample)
             # The last state has no phrase open: texts begin there, and characters the sample lacks lead there.
             none = len(moves)
+            if held and base + (none + 1) * width > cells:
+                close()
+                held, roots, base = [], [], 0
             own = np.full((none + 1, width), -1, np.int32)
             for state, to in enumerate(moves):
                 own[state, self.code[list(to)]] = list(to.values())
@@ -132,14 +153,12 @@ class Parser:
             own += base
             own <<= 1
             own |= broken
-            tables.append(own.ravel())
+            held.append(own.ravel())
             roots.append(base + none * width)
             base += own.size
-            if base << 1 >= 1 << 31:
-                raise ValueError("the samples are too large for one table")
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
-        self.roots = np.array(roots, np.int64)
-        self.weight = np.log2([len(s) + 1 for s in model.samples]) if tables else np.zeros(0)
+        if held:
+            close()
+        self.weight = np.log2([len(s) + 1 for s in model.samples]) if held else np.zeros(0)
 
     def phrases(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases by text and language, and the length of each text."""
@@ -159,15 +178,19 @@ class Parser:
         left = np.minimum(sizes[owner] - within * BLOCK, BLOCK)
         order = np.argsort(-left, kind="stable")
         at, left, owner = at[order], left[order], owner[order]
-        state = np.repeat(self.roots[:, None], len(at), axis=1)
-        count = np.zeros((len(self.roots), len(at)), np.int32)
         active = len(at) - np.searchsorted(left[::-1], np.arange(BLOCK), side="right")
-        for step in range(int(left[0]) if len(left) else 0):
-            n = active[step]
-            found = self.table.take(state[:, :n] + data[at[:n] + step])
-            count[:, :n] += found & 1
-            state[:, :n] = found >> 1
-        total = np.stack([np.bincount(owner, row, len(texts)) for row in count], axis=1) if len(self.roots) else np.zeros((len(texts), 0))
+        counts = [np.zeros((0, len(at)), np.int32)]
+        for table, roots in self.tables:
+            state = np.repeat(roots[:, None], len(at), axis=1)
+            count = np.zeros((len(roots), len(at)), np.int32)
+            for step in range(int(left[0]) if len(left) else 0):
+                n = active[step]
+                found = table.take(state[:, :n] + data[at[:n] + step])
+                count[:, :n] += found & 1
+                state[:, :n] = found >> 1
+            counts.append(count)
+        every = np.concatenate(counts)
+        total = np.stack([np.bincount(owner, row, len(texts)) for row in every], axis=1) if len(every) else np.zeros((len(texts), 0))
         return total, sizes
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
