@@ -27,6 +27,8 @@ from tidewell.llm.simhash import shingle_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS, STARS = 32, 4, 3
+#: Pairs of texts that a task holds at once.
+PAIRS = 256
 #: Shingles whose minima are taken at once.
 BLOCK = 4096
 
@@ -110,7 +112,13 @@ def near_duplicates(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_
         pairs = joined.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        new = cut(verified(docs, pairs, row_col, text_col))
+        conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        usual = conf.get(name)
+        conf.set(name, PAIRS)
+        try:
+            new = cut(verified(docs, pairs, row_col, text_col))
+        finally:
+            conf.set(name, usual)
         links = new if links is None else links.unionByName(new)
         ties = graph.components(links)
     if ties is None:
