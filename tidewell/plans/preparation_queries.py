@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import text
 from tidewell.operators import dedup
 from tidewell.plans.search_queries import _values, table
+from tidewell.plans.sizes import new_path
 from tidewell.sources import jsonl, products
 from tidewell.streaming import crawl_state, ingest
 
@@ -140,8 +140,7 @@ def crawl_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs of the incremental stream over ``lineitem``'s order keys; the second finds nothing new."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewell-stream-")
-    to = f"{folder}/stream-{abs(hash(sf_dir)) % 10**8}-{spark.sparkContext._jsc.sc().newRddId()}"
+    to = new_path(spark, "stream")
     source = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"))
     source.write.mode("overwrite").parquet(f"{to}/source")
     for _ in range(2):
