@@ -3,11 +3,13 @@
 import hashlib
 import os
 import struct
+import time
 import zlib
 from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -52,6 +54,39 @@ def test_tree_concatenation_equals_direct_merging(rng, path):
             assert merges.encode(data) == merges.encode(data, pool=pool) == merges.direct(data), data
 
 
+@pytest.mark.parametrize("leaf", [64, 16, 3])
+def test_small_leaves_are_joined_exactly(rng, monkeypatch, leaf):
+    """Text cut at nearly every place, in parallel too."""
+    monkeypatch.setattr(bpe, "LEAF", leaf)
+    library, own = Tokenizer.from_file(BYTES), bpe.ByteBpe(BYTES)
+    for text in odd_texts(rng, 600):
+        assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="driver tables are absent")
+def test_most_tokens_come_from_trees(monkeypatch):
+    """The share of tokens of documents that are concatenated from leaves, and how many tokens the joins make anew."""
+    own = bpe.ByteBpe(BYTES)
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist() if t]
+    joined = Counter()
+    join = own.join
+    monkeypatch.setattr(own, "join", lambda text, *rest: (joined.update([text]), join(text, *rest))[1])
+    counts = [(len(own.ids(t)), joined[t]) for t in texts]
+    assert sum(n for n, joins in counts if joins) > 0.75 * sum(n for n, _ in counts)
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "https://example.com/" + "a1b2" * 80, "x" * 300_000, "a" + "\n" * 200_000 + "b", ("y" * 300 + " " * 300) * 1000])
+def test_long_runs_take_linear_time(text):
+    own, start = bpe.ByteBpe(BYTES), time.time()
+    assert own.decode(own.ids(text)) == text and time.time() - start < 30
+
+
+def test_long_runs_beside_each_other():
+    library, own = Tokenizer.from_file(BYTES), bpe.ByteBpe(BYTES)
+    for text in (" " * 3000 + "https://example.com/" + "a1b2" * 80 + " " * 700 + "x" * 3000 + " y", "ab" * 400 + "\n" * 400, " " * 600, "don't " * 100 + "z" * 600 + "'s " + "q" * 20):
+        assert own.ids(text) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_decoding_incomplete_bytes():
     own = bpe.ByteBpe(BYTES)
     assert own.decode(own.encode("é").tolist()[:1] if len(own.encode("é")) > 1 else [own.merges.inner[0xC3]]) == "�"
@@ -91,9 +126,12 @@ def test_longest_match_follows_failure_links(rng):
 
 @driver_tables
 def test_token_counts_query(spark):
-    own = wordpiece.counter(PIECES)
+    """The query against the library's word pieces over whole texts."""
+    library = Tokenizer(models.WordPiece({"[UNK]": 0} | {p: k + 1 for k, p in enumerate(wordpiece.vocabulary_of(PIECES))}, unk_token="[UNK]", max_input_chars_per_word=10**6))
+    library.pre_tokenizer = pre_tokenizers.BertPreTokenizer()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    assert {(r["doc_id"], r["n_tokens"], r["n_unknown"]) for r in queries.QUERIES["op2_wordpiece_counts"](spark, SF).collect()} == {(k, *own.count(t)) for k, t in texts.items()}
+    ids = {k: library.encode(t).ids for k, t in texts.items()}
+    assert {(r["doc_id"], r["n_tokens"], r["n_unknown"]) for r in queries.QUERIES["op2_wordpiece_counts"](spark, SF).collect()} == {(k, len(v), v.count(0)) for k, v in ids.items()}
 
 
 def optimum(items, capacity):
@@ -147,6 +185,23 @@ def test_fillings_after_the_first_perfect_one_are_tried(rng):
         assert packing.bins(packing.complete(dict(Counter(items)), 20)) == 3
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="driver tables are absent")
+@pytest.mark.parametrize("times", [26, 100])
+def test_completion_improves_on_best_fit_at_scale(spark, times):
+    """The lengths of sf0.01 many times over: best fit misses the bound, bin completion meets it, in bounded time."""
+    pieces = packing.pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), WORDS)
+    counts = {r["length"]: r["count"] * times for r in pieces.groupBy("length").count().collect()}
+    start = time.time()
+    plan = packing.complete(counts, packing.CAPACITY)
+    assert time.time() - start < 60
+    held = Counter()
+    for pattern, n in plan:
+        assert sum(a * k for a, k in pattern.items()) <= packing.CAPACITY
+        held.update({a: k * n for a, k in pattern.items()})
+    assert held == Counter(counts)
+    assert packing.bins(plan) == packing.least(counts, packing.CAPACITY) < packing.bins(packing.best_fit(counts, packing.CAPACITY))
+
+
 @driver_tables
 def test_packing_query(spark):
     library = Tokenizer.from_file(WORDS)
@@ -190,6 +245,23 @@ def test_segment_tree_finds_the_tightest_row(rng):
         assert sorted(capacity - sum(lengths[k] for k in r) for r in rows) == sorted(rooms)
 
 
+@driver_tables
+def test_matrix_query(spark):
+    """Every document's ids stand in its segments, rows are full but for a few, and digests are those of the ids."""
+    library = Tokenizer.from_file(BYTES)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = queries.QUERIES["op10_token_matrix"](spark, SF).collect()
+    found: dict = {}
+    for r in rows:
+        ids = np.frombuffer(r["ids"], "<u2").tolist()
+        assert len(ids) == token_matrix.LENGTH and r["cu_seqlens"][0] == 0 and r["cu_seqlens"][-1] == r["n_tokens"] and r["position_resets"] == r["cu_seqlens"][:-1]
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids[: r["n_tokens"]])).encode()).hexdigest()
+        for doc, start, a, b in zip(r["doc_ids"], r["starts"], r["cu_seqlens"], r["cu_seqlens"][1:]):
+            found.setdefault(doc, {})[start] = ids[a:b]
+    assert {k: sum((v[s] for s in sorted(v)), []) for k, v in found.items()} == {k: library.encode(t, add_special_tokens=False).ids for k, t in texts.items() if t}
+    assert len({r["sequence_id"] for r in rows}) == len(rows) <= sum(r["n_tokens"] for r in rows) / token_matrix.LENGTH + 8
+
+
 def test_matrix_is_lossless(spark, table, tmp_path):
     texts = ["the cat sat", "word " * 900, None, "", "x" * 500, "a b c " * 40, "the cat sat"]
     own = bpe.ByteBpe(BYTES)

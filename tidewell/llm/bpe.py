@@ -1,12 +1,16 @@
 """Byte-level BPE encoding and decoding by tree concatenation.
 
-Text whose words have at most ``LEAF`` characters is merged directly, by compiled code; longer words are cut out of it
-with the white space before them, as no token crosses from a word to white space. A longer one without a cut
-is encoded as a balanced tree: its halves are encoded independently of each other (in parallel if a pool
-is given), and at each join a window of tokens around the boundary is decoded and encoded anew, doubling,
+Unsplit text of more than ``LEAF`` characters is cut into a balanced tree of leaves, wherever the cuts fall, and the leaves
+are encoded independently of each other by compiled code (in parallel, if there are ``PARALLEL`` of them). At each join of two halves a
+window around the boundary is encoded anew, doubling, until it holds on both sides a place where both encodings must agree:
+where a word ends and white space begins, which no token crosses. What lies between replaces the halves' own tokens there; so each node of
+the tree holds exactly the encoding of its text.
+
+Runs of more than ``LONG`` characters without such a place (white space, or a word) stand for themselves. Their pieces
+are encoded as trees of bytes in the same way: a window of tokens around each join is decoded and encoded anew, doubling,
 until its first token is the left side's and its last token the right side's. That is exact: a sequence is
 the BPE encoding of its bytes if each pair of neighbours is that of theirs, and every pair then stands
-in one of the three encodings.
+in one of the three encodings. All of it takes time in proportion to the text (times its logarithm).
 
 Decoding joins the bytes of the ids; incomplete UTF-8 becomes U+FFFD.
 
@@ -21,7 +25,8 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -31,7 +36,16 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF = 64
+from tidewell.llm.common import model, modest_batches, texts_of
+
+#: Characters of unsplit text that are encoded as a whole, and leaves from which they are encoded in parallel, by so many threads.
+LEAF, PARALLEL, THREADS = 1024, 8, 4
+#: A run of more characters, of white space or without, is encoded by itself.
+LONG = 256
+#: Bytes of a single piece that are merged directly.
+PIECE_LEAF = 256
+#: Characters of a word that compiled code merges with its ending.
+WORD_LEAF = 64
 #: Pieces remembered in a worker, about 250 bytes each; beyond it the memory starts anew.
 REMEMBERED = 250_000
 #: A piece longer than this isn't remembered.
@@ -66,6 +80,8 @@ class Merges:
         self.rank = {}
         for rank, (a, b) in enumerate(model["merges"]):
             self.rank.setdefault(ids[a] << 20 | ids[b], rank << 20 | ids[(a[: len(a) - len(self.suffix)] if self.suffix and a.endswith(self.suffix) else a) + b])
+        #: Compiled code that merges a piece as a whole, where there is one.
+        self.compiled: Callable[[bytes], list[int]] | None = None
         back = {c: b for b, c in enumerate(LETTERS)}
         self.bytes = {}
         for token, k in ids.items():
@@ -74,10 +90,12 @@ class Merges:
 
     def direct(self, piece: bytes, ends: bool = True) -> list[int]:
         """The ids of a piece, merged as a whole; ``ends``: it ends a word."""
+        if self.compiled is not None:
+            return self.compiled(piece)
         ids = [self.inner[b] for b in piece]
         if ends and self.suffix:
             ids[-1] = self.last[piece[-1]]
-        if len(ids) > 2 * LEAF:
+        if len(ids) > 2 * WORD_LEAF:
             return self._by_heap(ids)
         rank = self.rank.get
         found = [rank(a << 20 | b, NEVER) for a, b in zip(ids, ids[1:])]
@@ -121,9 +139,9 @@ class Merges:
     def encode(self, piece: bytes, ends: bool = True, pool=None) -> list[int]:
         """The ids of a piece of any length, by tree concatenation."""
         size = len(piece)
-        if size <= LEAF:
+        if size <= PIECE_LEAF:
             return self.direct(piece, ends) if size else []
-        count = -(-size // LEAF)
+        count = -(-size // PIECE_LEAF)
         cuts = [k * size // count for k in range(count + 1)]
         leaves = [(piece[a:b], ends and b == size) for a, b in zip(cuts, cuts[1:])]
         parts = list(pool.map(lambda x: self.direct(*x), leaves) if pool else (self.direct(*x) for x in leaves))
@@ -184,34 +202,113 @@ class ByteBpe:
         self.added = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.split_added = re.compile("(" + "|".join(map(re.escape, self.added)) + ")")
         self.pieces = regex.compile(PATTERN)
-        self.long_runs = re.compile(rf"((?:[{SPACE}]*[^{SPACE}]{{{LEAF + 1},}})+)")
+        self.long_run = re.compile(rf"[{SPACE}]{{{LONG + 1},}}|[^{SPACE}]{{{LONG + 1},}}")
+        self.word, self.word_end = re.compile(rf"[^{SPACE}]*"), re.compile(rf"[^{SPACE}][{SPACE}]")
+        self.white = re.compile(rf"[{SPACE}]")
+        self.pool: ThreadPoolExecutor | None = None
         names = self.merges.bytes | {k: t.encode() for t, k in self.added.items()}
         self.token_bytes = [names[k] for k in range(max(names) + 1)]
         self.decimal = [str(k) for k in range(len(self.token_bytes))]
+        self.sizes = list(map(len, self.token_bytes))
+        self.leaf = self.by_pieces if self.fast is None else self.fast.encode_ordinary
+        if self.fast is not None:
+            self.merges.compiled = self.fast._encode_single_piece
+
+    def threads(self) -> ThreadPoolExecutor:
+        self.pool = self.pool or ThreadPoolExecutor(THREADS)
+        return self.pool
 
-    def by_pieces(self, text: str) -> np.ndarray:
-        """Each piece by itself, long ones by tree concatenation."""
+    def by_pieces(self, text: str) -> list[int]:
+        """Each piece by itself, long ones by tree concatenation, their leaves in parallel if there are many."""
         ids: list[int] = []
         for piece in self.pieces.findall(text):
-            ids += self.merges.encode(piece.encode())
-        return np.array(ids, "<u4")
+            data = piece.encode()
+            ids += self.merges.encode(data, pool=self.threads() if len(data) >= PARALLEL * LEAF else None)
+        return ids
 
-    def plain(self, text: str) -> np.ndarray:
+    def stretches(self, text: str) -> Iterator[tuple[bool, int, int]]:
+        """(whether it is a long run, start, end): text cut where words end and white space begins, so that long runs stand alone."""
+        lengths = list(map(len, text.split()))
+        if max(lengths, default=0) <= LONG and len(text) - sum(lengths) - len(lengths) < LONG:
+            # No word is long, and there's too little white space besides one character a word for a long run.
+            yield False, 0, len(text)
+            return
+        at = 0
+        for m in self.long_run.finditer(text):
+            start, end = m.span()
+            if start < at:
+                continue
+            if self.white.match(text, start):
+                # The word after the white space may take its last character.
+                end = self.word.match(text, end).end()
+            else:
+                while start > at and self.white.match(text, start - 1):
+                    start -= 1
+            if start > at:
+                yield False, at, start
+            yield True, start, end
+            at = end
+        if at < len(text):
+            yield False, at, len(text)
+
+    def plain(self, text: str) -> list[int]:
         """The ids of text without added tokens."""
-        if self.fast is None:
-            return self.by_pieces(text)
-        if max(map(len, text.split()), default=0) <= LEAF:
-            return self.fast.encode_to_numpy(text, disallowed_special=())
-        # No token crosses from a word to white space, so long words with the white space before them stand for themselves.
-        return np.concatenate([self.by_pieces(t) if k % 2 else self.fast.encode_to_numpy(t, disallowed_special=())
-                               for k, t in enumerate(self.long_runs.split(text)) if t])
+        ids: list[int] = []
+        for long, start, end in self.stretches(text):
+            ids += self.by_pieces(text[start:end]) if long else self.tree(text, start, end)
+        return ids
 
-    def encode(self, text: str | None) -> np.ndarray:
+    def tree(self, text: str, start: int, end: int) -> list[int]:
+        """The ids of a stretch without long runs, by tree concatenation."""
+        count = -(-(end - start) // LEAF)
+        if count <= 1:
+            return self.leaf(text[start:end])
+        cuts = [start + k * (end - start) // count for k in range(count + 1)]
+        leaves = [text[a:b] for a, b in zip(cuts, cuts[1:])]
+        nodes = list(self.threads().map(self.leaf, leaves) if count >= PARALLEL else map(self.leaf, leaves))
+        while len(nodes) > 1:
+            joined = [self.join(text, *cuts[k: k + 3], *nodes[k: k + 2]) for k in range(0, len(nodes) - 1, 2)]
+            nodes = joined + nodes[len(joined) * 2:]
+            cuts = [*cuts[:-1:2], cuts[-1]]
+        return nodes[0]
+
+    def join(self, text: str, start: int, middle: int, end: int, left: list[int], right: list[int]) -> list[int]:
+        """The ids of ``text[start:end]``, of those of its halves."""
+        width, begin, stop = 16, None, None
+        while begin is None or stop is None:
+            a, b = max(start, middle - width), min(end, middle + width)
+            if begin is None:
+                # The last place before the boundary; the half's own start if it has none.
+                places = [m.start() + 1 for m in self.word_end.finditer(text, a, middle)]
+                begin = places[-1] if places else start if a == start else None
+            if stop is None:
+                place = self.word_end.search(text, middle, b)
+                stop = place.start() + 1 if place else end if b == end else None
+            width *= 2
+        # The tokens of both sides that the window stands in for.
+        sizes, kept, gone = self.sizes, len(left), 0
+        size = len(text[begin:middle].encode())
+        while size > 0:
+            kept -= 1
+            size -= sizes[left[kept]]
+        size = len(text[middle:stop].encode())
+        while size > 0:
+            size -= sizes[right[gone]]
+            gone += 1
+        return left[:kept] + self.leaf(text[begin:stop]) + right[gone:]
+
+    def ids(self, text: str | None) -> list[int]:
         if not text:
-            return np.zeros(0, "<u4")
+            return []
         if not any(t in text for t in self.added):
             return self.plain(text)
-        return np.concatenate([np.array([self.added[t]], "<u4") if t in self.added else self.plain(t) for t in self.split_added.split(text) if t])
+        ids: list[int] = []
+        for part in self.split_added.split(text):
+            ids += [self.added[part]] if part in self.added else self.plain(part)
+        return ids
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return np.array(self.ids(text), "<u4")
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids))
@@ -261,7 +358,7 @@ class WordBpe:
         return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary, numbers
 
     def piece(self, text: str) -> bytes:
-        if self.leaf and len(text) <= LEAF and END not in text:
+        if self.leaf and len(text) <= WORD_LEAF and END not in text:
             return array("H", map(self.ids.__getitem__, self.leaf(text + END))).tobytes()
         return array("H", self.merges.encode(text.encode())).tobytes()
 
@@ -289,21 +386,16 @@ class WordBpe:
                                       for t in self.split_added.split(text) if t), "<u2")
 
 
-_encoders: dict = {}
-
-
-def encoder(path: str, kind: type = ByteBpe):
+def byte_bpe(path: str) -> ByteBpe:
     """The file's encoder, built once in each Python worker."""
-    if path not in _encoders:
-        _encoders[path] = kind(path)
-    return _encoders[path]
+    return model(("bytes", path), lambda: ByteBpe(path))
 
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, the token ids (32-bit little-endian), and the text they decode to."""
     def row(bpe: ByteBpe, text: str | None) -> tuple:
-        ids = bpe.encode(text)
-        return ids.astype("<u4").tobytes(), bpe.decode(ids.tolist())
+        ids = bpe.ids(text)
+        return np.array(ids, "<u4").tobytes(), bpe.decode(ids)
 
     return _mapped(docs, path, id_col, text_col, row, [("ids", "binary", pa.binary()), ("decoded", "string", pa.string())])
 
@@ -311,7 +403,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, number of tokens, and SHA-256 of the decimal ids and of the decoded text."""
     def row(bpe: ByteBpe, text: str | None) -> tuple:
-        ids = bpe.encode(text).tolist()
+        ids = bpe.ids(text)
         return (len(ids), hashlib.sha256(",".join(map(bpe.decimal.__getitem__, ids)).encode()).hexdigest(),
                 hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
 
@@ -323,12 +415,14 @@ def _mapped(docs: DataFrame, path: str, id_col: str, text_col: str, row, columns
     chosen = docs.select(F.col(id_col), F.col(text_col).alias("text" if id_col != "text" else "text_"))
     names = [id_col, *(n for n, _, _ in columns)]
 
+    modest_batches(docs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe = byte_bpe(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                values = zip(*(row(bpe, t) for t in part.column(1).to_pylist()))
+                values = zip(*(row(bpe, t) for t in texts_of(part.column(1))))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, kind) for v, (_, _, kind) in zip(values, columns))], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()

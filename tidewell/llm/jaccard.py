@@ -1,40 +1,48 @@
-"""Near duplicates by exact Jaccard similarity of word shingles, for the pipeline's stage.
+"""Near duplicates by SimHash links that are verified, completed to every pair of at least ``SIMILARITY``; for the pipeline's stage.
 
 Two texts are linked if the sets of their ``WIDTH``-word shingles (words as in ``simhash``) have a Jaccard similarity of
-at least ``SIMILARITY``. A 64-bit SimHash can't find these: at 0.8 fingerprints differ in about ten bits and often in
-more, and blocks for that many agree by chance. Candidates share one of ``BANDS`` keys of ``ROWS`` minima each; a pair
-at 0.8 shares none with a probability of (1 - 0.8^4)^32, 5e-8. Each candidate pair is verified on the texts.
+at least ``SIMILARITY``. At 0.8 fingerprints of 64 bits differ in about ten bits and often in more, for which a trie can't
+prune (blocks for that many agree by chance), so the trie join finds the closest pairs and an exact join finds the rest:
 
-Pairs of a bucket that are linked already aren't compared: each of ``STARS`` rounds compares a bucket's members with one of
-them, and then all pairs that still lie in different components are. So a bucket of alike texts costs a star, not all pairs.
+* One pass counts shingles in ``SLOTS`` counters, which gives all tasks the same order of shingles, rare ones first. Sets of
+  n shingles as similar as that share one of their first n - ceil(SIMILARITY n) + 1, whatever the order; by rarity,
+  passages that many texts share are seldom among them. Only rows that share such a key with another are looked at further.
+* Those rows' fingerprints are joined by ``simhash.links``; the links that the texts bear out give the first components.
+* Rows that share keys make up cells (connected parts). In a cell each row that isn't in the cell's largest component is compared with
+  all others, in numpy, ``TILE`` shingles against ``TILE`` at a time; a tile returns a spanning forest of its links, so no
+  pairs are emitted. In a cell of several tiles all rows are first compared with ``CENTRES`` of them, which
+  ties the bulk of a group of copies together, so that few rows are left to compare with all.
 
-Defined cases: a text of fewer words is one shingle; texts without words are alike; a component keeps its smallest id, then
-row number (a null id comes last).
+Nothing is collected but the counters, of which there are ``SLOTS``, and no link is lost. What can't be bounded is a cell of very many rows that are all just short
+of similar: its rows are compared with each other, in tiles.
+
+Defined cases: a null text has no words; a text of fewer words is one shingle; texts without words are alike; a component keeps its smallest id, then
+row number (a null id comes last); an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewell.llm import graph
-from tidewell.llm.common import cut, small
-from tidewell.llm.simhash import shingle_hashes
+from tidewell.llm.common import batches_of, cut, modest_batches, new_path, release, remove, small, texts_of, written
+from tidewell.llm.simhash import BUDGET, fingerprint, links, shingle_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
-BANDS, ROWS, STARS = 32, 4, 3
-#: Pairs of texts that a task holds at once.
-PAIRS = 256
-#: Shingles whose minima are taken at once.
-BLOCK = 4096
-
-_random = np.random.default_rng(42)
-TIMES, PLUS = (_random.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
-TIMES |= np.uint64(1)
+#: Counters of shingles, shingles of a block of rows, and rows that all of a large cell are compared with first.
+SLOTS, TILE, CENTRES = 1 << 18, 1 << 16, 32
+#: Keys that may be broadcast, one number each, and rows with their shingles in an Arrow batch.
+KEYS, ROWS = 1_000_000, 128
+#: What shingles a task counts at once.
+COUNTED = 1 << 20
+NO_WORDS = np.zeros(1, np.uint64)
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -42,87 +50,242 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.frombuffer(shingle_hashes(text, width), ">u8").astype(np.uint64))
 
 
-def keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(hashes), BLOCK):
-        found = np.multiply.outer(TIMES, hashes[k: k + BLOCK])
-        found += PLUS[:, None]
-        np.minimum(least, found.min(axis=1), out=least)
-    rows = least.reshape(BANDS, ROWS)
-    out = np.arange(BANDS, dtype=np.uint64)
-    for k in range(ROWS):
-        out = (out ^ rows[:, k]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out.view(np.int64)
+def slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+def commonness(docs: DataFrame, text_col: str) -> np.ndarray:
+    """For each slot how often its shingles occur, as a logarithm in quarters: enough to tell common passages from the rest."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        counts, held, size = np.zeros(SLOTS, np.int64), [], 0
+        for batch in batches:
+            for text in texts_of(batch.column(0)):
+                held.append(slot(shingles(text)))
+                size += len(held[-1])
+                if size >= COUNTED:
+                    counts += np.bincount(np.concatenate(held), minlength=SLOTS)
+                    held, size = [], 0
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=SLOTS)
+        there = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(counts[there])], names=["slot", "n"])
+
+    found = docs.select(text_col).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS)
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return np.floor(4 * np.log2(counts + 1)).astype(np.uint8)
 
 
-def buckets(docs: DataFrame, row_col: str, text_col: str) -> DataFrame:
+def first_keys(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Keys of which two sets that are similar enough share one: the rarest shingles."""
+    if not len(hashes):
+        return NO_WORDS
+    order = common[slot(hashes)].astype(np.uint64) << np.uint64(56) | hashes >> np.uint64(8)
+    n = len(order) - ceil(SIMILARITY * len(order) - 1e-9) + 1
+    return np.partition(order, n - 1)[:n] if n < len(order) else order
+
+
+def members(docs: DataFrame, row_col: str, text_col: str) -> DataFrame:
     """``(key, row)`` of the keys that several rows share."""
+    common = commonness(docs, text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
-            found = [keys(shingles(t.as_py())) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)),
-                                              batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), BANDS)))], names=["key", "row"])
+            found = [first_keys(shingles(t), common) for t in texts_of(batch.column(1))]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)),
+                                              batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), sizes)))], names=["key", "row"])
 
-    every = cut(docs.select(F.col(row_col).cast("long"), text_col).mapInArrow(run, "key long, row long"))
+    path = new_path(docs.sparkSession)
+    every = written(docs.select(F.col(row_col).cast("long"), text_col).mapInArrow(run, "key long, row long"), path)
     shared = cut(every.groupBy("key").count().where("count > 1").select("key"))
-    return cut(every.join(small(shared), "key", "left_semi"))
+    found = cut(every.join(small(shared, KEYS), "key", "left_semi"))
+    remove(docs.sparkSession, path)
+    return found
 
 
-def verified(docs: DataFrame, pairs: DataFrame, row_col: str, text_col: str) -> DataFrame:
-    """The ``(u, v)`` of ``pairs`` that are similar enough."""
-    ends = cut(pairs.select(F.explode(F.array("u", "v")).alias("end")).distinct())
-    texts = docs.select(F.col(row_col).alias("end"), F.col(text_col).alias("text")).join(small(ends), "end", "left_semi")
-    both = pairs.join(texts.select(F.col("end").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("end").alias("v"), F.col("text").alias("b")), "v")
+def sets_of(docs: DataFrame, rows: DataFrame, row_col: str, text_col: str) -> DataFrame:
+    """``(row, n, fp, shingles)`` of some rows: number of shingles, fingerprint, and the sorted hashes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, prints, data = [], [], []
+            for text in texts_of(batch.column(1)):
+                hashes = shingle_hashes(text, WIDTH)
+                prints.append(fingerprint(hashes))
+                own = np.unique(np.frombuffer(hashes, ">u8").astype(np.uint64))
+                n.append(len(own))
+                data.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(data, pa.binary())],
+                                             names=["row", "n", "fp", "shingles"])
+
+    chosen = docs.select(F.col(row_col).cast("long").alias("row"), F.col(text_col).alias("text")).join(small(rows), "row", "left_semi")
+    return chosen.mapInArrow(run, "row long, n long, fp long, shingles binary")
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= SIMILARITY * (len(a) + len(b) - both)
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``(u, v)`` of pairs of rows that are similar enough."""
+    both = pairs.join(sets.select(F.col("row").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("row").alias("v"), F.col("shingles").alias("b")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alike = [similarity(shingles(a.as_py()), shingles(b.as_py())) >= SIMILARITY for a, b in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(alike, pa.bool_()))
+            good = [alike(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) for a, b in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(row)`` of the rows that aren't kept. row_col: a number of each row."""
-    members = buckets(docs, row_col, text_col)
-    links, tried, ties = None, None, None
-    for turn in range(STARS + 1):
-        named = members.withColumn("root", F.col("row")) if ties is None else members.join(small(ties), F.col("row") == F.col("u"), "left").select(
-            "key", "row", F.coalesce("v", "row").alias("root"))
-        # Buckets that lie within one component are done.
-        centres = named.groupBy("key").agg(F.min(F.struct(F.xxhash64("row", F.lit(turn)).alias("order"), "row", "root")).alias("c"),
-                                           F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select(
-            "key", F.col("c.row").alias("centre"), F.col("c.root").alias("centre_root"))
-        centres = cut(centres)
-        if centres.isEmpty():
-            break
-        if turn < STARS:
-            joined = named.join(small(centres), "key").where("root <> centre_root").select(F.col("row").alias("a"), F.col("centre").alias("b"))
-        else:
-            left = cut(named.join(small(centres.select("key")), "key", "left_semi"))
-            other = left.select("key", F.col("row").alias("b"), F.col("root").alias("root_b"))
-            joined = left.join(other, "key").where("root < root_b").select(F.col("row").alias("a"), "b")
-        pairs = joined.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-        usual = conf.get(name)
-        conf.set(name, PAIRS)
-        try:
-            new = cut(verified(docs, pairs, row_col, text_col))
-        finally:
-            conf.set(name, usual)
-        links = new if links is None else links.unionByName(new)
-        ties = graph.components(links)
+def close_pairs(sets: DataFrame, budget: int) -> DataFrame:
+    """``(u, v)`` rows whose fingerprints the trie join links, and rows of equal fingerprints with one of them."""
+    distinct = cut(sets.groupBy("fp").agg(F.min("row").alias("first")))
+    tied = links(distinct.select("fp"), budget)
+    ends = distinct.select(F.col("fp").alias("u"), F.col("first").alias("row_u")), distinct.select(F.col("fp").alias("v"), F.col("first").alias("row_v"))
+    across = tied.join(ends[0], "u").join(ends[1], "v").select(F.col("row_u").alias("u"), F.col("row_v").alias("v"))
+    equal = sets.select("row", "fp").join(distinct, "fp").where("row <> first").select(F.col("row").alias("u"), F.col("first").alias("v"))
+    return across.unionByName(equal)
+
+
+class Forest:
+    """Which of some labels are tied together."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    def tie(self, a: int, b: int) -> bool:
+        """Whether that was new."""
+        a, b = self.top(a), self.top(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def tile_links(asks: list[np.ndarray], asking: list[int], sets: list[np.ndarray], roots: list[int]) -> list[tuple[int, int]]:
+    """Links between the roots of the rows that ask and those of the others, each new to the forest of those before.
+
+    asks, asking: the sets and roots of the rows that ask; sets, roots: those of the rows they are compared with.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    forest, found = Forest(), []
+    for own, root in zip(asks, asking):
+        low, high = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+        lengths = high - low
+        places = np.repeat(low - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        both = np.bincount(owner[places], minlength=len(sets))
+        for k in np.flatnonzero(both >= SIMILARITY * (sizes + len(own) - both)).tolist():
+            if forest.tie(root, roots[k]):
+                found.append((root, roots[k]))
+    return found
+
+
+def compared(tiles: DataFrame) -> DataFrame:
+    """``(u, v)`` links found in tiles. tiles: ``(cell, i, j, asks, root, shingles)``; those that ask are compared with those that don't."""
+    placed = tiles.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").select("cell", "i", "j", "asks", "root", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        last, held = None, None
+
+        def result() -> pa.RecordBatch:
+            found = tile_links(*held)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(k).to_pylist() for k in range(5)))
+            for (*tile, asks, root), data in zip(keys, batch.column(5)):
+                if tile != last:
+                    if held:
+                        yield result()
+                    last, held = tile, ([], [], [], [])
+                # A copy, as the batch goes.
+                held[0 if asks else 2].append(np.frombuffer(data.as_py(), np.uint64))
+                held[1 if asks else 3].append(root)
+        if held:
+            yield result()
+
+    return placed.mapInArrow(run, "u long, v long")
+
+
+def _named(rows: DataFrame, ties: DataFrame | None) -> DataFrame:
+    """``rows`` with ``root``: the component that each row belongs to so far."""
     if ties is None:
-        return members.select("row").limit(0)
+        return rows.withColumn("root", F.col("row"))
+    return rows.join(small(ties.select(F.col("u").alias("row"), F.col("v").alias("tied"))), "row", "left").withColumn("root", F.coalesce("tied", "row")).drop("tied")
+
+
+def _open_cells(held: DataFrame, ties: DataFrame) -> DataFrame:
+    """``(row, root, cell)`` of the rows that share a key with a row of another component; cell: what hangs together by such keys."""
+    named = cut(_named(held, ties))
+    open_keys = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key", "least")
+    open_keys = cut(open_keys)
+    # Components are what hangs together, so cells are made of roots, and each key ties its roots to the least.
+    edges = cut(named.join(small(open_keys, KEYS), "key").select(F.col("root").alias("u"), F.col("least").alias("v")).distinct())
+    tied = graph.components(edges)
+    roots = edges.select(F.col("u").alias("root")).distinct().join(tied.select(F.col("u").alias("root"), F.col("v").alias("top")), "root", "left")
+    roots = cut(roots.select("root", F.coalesce("top", "root").alias("cell")))
+    # Rows without such a key are similar to none outside of their component.
+    rows = named.join(small(open_keys.select("key"), KEYS), "key", "left_semi").select("row", "root").distinct()
+    return rows.join(small(roots), "root").select("row", "root", "cell")
+
+
+def near_duplicates(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
+    """``(row)`` of the rows that aren't kept. row_col: a number of each row that is the same whenever ``docs`` is read."""
+    spark = docs.sparkSession
+    modest_batches(docs)
+    held = members(docs, row_col, text_col)
+    if held.isEmpty():
+        return held.select("row")
+    path = new_path(spark)
+    sets = written(sets_of(docs, cut(held.select("row").distinct()), row_col, text_col), path)
+    # Rows with their shingles are wide.
+    with batches_of(spark, ROWS):
+        found = cut(verified(close_pairs(sets, budget), sets))
+    ties = graph.components(found)
+
+    sizes = sets.select("row", "n")
+    cells = cut(_open_cells(held, ties).join(sizes, "row"))
+    whole = cells.groupBy("cell").agg(F.ceil(F.sum(F.col("n") + 1) / TILE).cast("int").alias("blocks"))
+    large = cut(whole.where("blocks > 1"))
+    if not large.isEmpty():
+        # Every row of a large cell against a few of them.
+        own = cells.join(small(large), "cell")
+        rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("row"), "row"))
+        centres = own.withColumn("rank", rank).where(F.col("rank") <= CENTRES)
+        asking = centres.select("row", "root", "cell", F.lit(0).alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("asks"))
+        others = own.select("row", "root", "cell", F.lit(0).alias("i"), F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("j"), F.lit(False).alias("asks"))
+        with batches_of(spark, ROWS):
+            found = cut(found.unionByName(compared(asking.unionByName(others).join(sets.select("row", "shingles"), "row"))))
+        ties = graph.components(found)
+        cells = cut(_open_cells(held, ties).join(sizes, "row"))
+
+    # The rows outside of each cell's largest component ask all others; every pair of components has one that does.
+    parts = cells.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("n") + 1).alias("n"))
+    largest = cut(parts.groupBy("cell").agg(F.max_by("root", F.struct("rows", "root")).alias("largest"), F.sum("n").alias("all"), F.max_by("n", F.struct("rows", "root")).alias("quiet")))
+    plan = largest.select("cell", "largest", F.ceil(F.col("all") / TILE).cast("int").alias("blocks"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("quiet")) / TILE)).cast("int").alias("turns"))
+    own = cut(cells.join(small(plan), "cell"))
+    block = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
+    asking = own.where("root <> largest").select("row", "root", "cell", F.pmod(F.xxhash64("row", F.lit(1)), F.col("turns")).cast("int").alias("i"),
+                                                 F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("asks"))
+    others = own.select("row", "root", "cell", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("i"), block.alias("j"), F.lit(False).alias("asks"))
+    with batches_of(spark, ROWS):
+        found = cut(found.unionByName(compared(asking.unionByName(others).join(sets.select("row", "shingles"), "row"))))
+    ties = graph.components(found)
+    remove(spark, path)
+
     linked = cut(ties.select(F.col("u").alias("row"), F.col("v").alias("root")).unionByName(ties.select(F.col("v").alias("row"), F.col("v").alias("root")).distinct()))
     order = docs.select(F.col(row_col).alias("row"), F.col(id_col).alias("id")).join(small(linked), "row")
     order = cut(order.select("row", "root", F.struct(F.isnull("id").alias("none"), "id", "row").alias("place")))

@@ -6,10 +6,12 @@ their place by their rank among the pieces of equal length. Ranks are dealt over
 length that a third of all pieces share is spread like any other.
 
 Bin completion: the largest length left opens a sequence, and the undominated fillings of what remains of it are
-tried, some of them fullest first and then all others; a filling is dominated if more fits, or a longer piece fits in the place of one or two of its
-pieces. A branch ends when its waste exceeds what a plan better than the best known could waste. The first plan
-known is best-fit decreasing's; the search ends when a plan meets a lower bound (Martello and Toth's L2), or
-after ``NODES`` nodes. While many pieces are left a filling is used as often as it can be.
+tried: first those that fill it exactly, of pieces as equal in length as can be (so that short pieces stay for
+later), then all others. A filling is dominated if more fits, or a longer piece fits in the place of one or two of its
+pieces. As pieces of one length are alike, a filling is used as often as it can be, and then once, so every plan can be reached. A branch ends when
+its waste, or the lower bound of what is left, exceeds what a plan better than the best known could have. Best fit
+decreasing gives the first plan known, and completes every ``EVERY``-th node to further ones; the search ends when a plan
+meets the bound (Martello and Toth's L2), or after ``NODES`` nodes, whatever the number of pieces.
 
 Defined cases: a null text counts as empty (one piece, the closing id alone); rows that repeat an id are packed
 each for itself; an empty table gives an empty result; further columns are ignored.
@@ -28,14 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewell.llm.bpe import WordBpe, encoder
-from tidewell.llm.common import cut
+from tidewell.llm.bpe import WordBpe
+from tidewell.llm.common import BROADCAST_ROWS, cut, modest_batches, model, texts_of
 
 CAPACITY, CLOSING_ID = 2048, 0
-#: Nodes of the search (steps towards further fillings count too), and fillings of a node that are sorted and tried first.
-NODES, FILLINGS = 10_000, 24
-#: With more pieces left than this, a filling is used as often as it can be.
-FEW = 200
+#: Nodes of the search (steps towards further fillings count too), and between how many best fit completes a plan.
+NODES, EVERY = 10_000, 256
 
 #: A plan: (lengths with their counts, how many sequences look like that).
 Plan = list[tuple[dict[int, int], int]]
@@ -133,6 +133,34 @@ def least(counts: dict[int, int], capacity: int) -> int:
     return int((large + np.maximum(0, -(-(small - (some * capacity - middle)) // capacity))).max())
 
 
+def exact(counts: dict[int, int], lengths: list[int], room: int) -> Iterator[dict[int, int]]:
+    """Fillings of ``room`` without waste by one, two or three pieces, each kind from the most equal ones on. lengths: falling."""
+    if counts.get(room, 0):
+        yield {room: 1}
+    there = np.zeros(room + 1, bool)
+    fit = [x for x in lengths if x <= room]
+    there[fit] = True
+
+    def pairs(rest: int, top: int) -> np.ndarray:
+        """The larger pieces, up to ``top``, of pairs that fill ``rest``; rising."""
+        larger = np.arange(-(-rest // 2), min(rest - 1, top) + 1)
+        return larger[there[larger] & there[rest - larger]]
+
+    def enough(pieces: tuple[int, ...]) -> dict[int, int] | None:
+        chosen = {x: pieces.count(x) for x in pieces}
+        return chosen if all(counts[x] >= k for x, k in chosen.items()) else None
+
+    for a in pairs(room, room).tolist():
+        if found := enough((a, room - a)):
+            yield found
+    # Of three, the largest is at least a third.
+    for a in reversed(fit):
+        if 3 * a >= room and room - a > 1:
+            for b in pairs(room - a, a).tolist():
+                if found := enough((a, b, room - a - b)):
+                    yield found
+
+
 def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> Plan:
     """The best plan found for a histogram of lengths."""
     total = sum(a * n for a, n in counts.items())
@@ -142,40 +170,34 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> Plan:
     best = best_fit(counts, capacity)
     if bins(best) == bound:
         return best
-    state = Counter(counts)
+    state = {x: n for x, n in counts.items() if n}
     path: Plan = []
-    waste, visited = 0, 0
+    used, waste, visited = 0, 0, 0
     stack: list[Iterator] = []
 
     def options() -> Iterator[tuple[dict[int, int], int] | tuple[()]]:
         # What is left when the node opens, as deeper nodes use the state.
-        own = Counter({x: n for x, n in state.items() if n})
-        first, pieces_left = max(own), sum(own.values())
+        own = {x: n for x, n in state.items() if n}
+        first = max(own)
         own[first] -= 1
-        lengths = sorted((x for x in own if own[x]), reverse=True)
-        found = fillings(own, lengths, capacity - first)
+        lengths = sorted((x for x, n in own.items() if n), reverse=True)
+        tried = set()
 
-        def option(chosen: dict[int, int]) -> tuple[dict[int, int], int]:
+        def option(chosen: dict[int, int]) -> Iterator[tuple[dict[int, int], int]]:
             pattern = {**chosen, first: chosen.get(first, 0) + 1}
-            return pattern, min(state[x] // k for x, k in pattern.items()) if pieces_left > FEW else 1
-
-        # Some are sorted and tried first; then come all others as they are found.
-        head: list[tuple[int, dict[int, int]]] = []
-        for _, x in zip(range(50 * FILLINGS), found):
-            if x is not None:
-                head.append(x)
-                if x[0] == 0 or len(head) == FILLINGS:
-                    break
-        if not head:
-            # Every filling met so far was dominated: take pieces greedily.
-            chosen, left = {}, capacity - first
-            for length in lengths:
-                if k := min(own[length], left // length):
-                    chosen[length], left = k, left - k * length
-            head = [(left, chosen)]
-        yield from (option(c) for _, c in sorted(head, key=lambda x: x[0]))
-        for x in found:
-            yield () if x is None else option(x[1])
+            often = min((own[x] + (x == first)) // k for x, k in pattern.items())
+            yield pattern, often
+            if often > 1:
+                yield pattern, 1
+
+        for chosen in exact(own, lengths, capacity - first):
+            tried.add(frozenset(chosen.items()))
+            yield from option(chosen)
+        for x in fillings(own, lengths, capacity - first):
+            if x is None:
+                yield ()
+            elif x[0] or frozenset(x[1].items()) not in tried:
+                yield from option(x[1])
 
     stack.append(options())
     while stack and visited < nodes:
@@ -184,6 +206,7 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> Plan:
             stack.pop()
             if path:
                 pattern, often = path.pop()
+                used -= often
                 waste -= (capacity - sum(a * k for a, k in pattern.items())) * often
                 for x, k in pattern.items():
                     state[x] += k * often
@@ -196,15 +219,23 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> Plan:
         if waste + more > (bins(best) - 1) * capacity - total:
             continue
         path.append(step)
+        used += often
         waste += more
         for x, k in pattern.items():
             state[x] -= k * often
-        if any(state.values()):
+        rest = {x: n for x, n in state.items() if n}
+        if rest and used + least(rest, capacity) < bins(best):
+            if visited % EVERY == 0 and used + bins(more_plan := best_fit(rest, capacity)) < bins(best):
+                best = path + more_plan
+                if bins(best) == bound:
+                    break
             stack.append(options())
             continue
-        best = list(path)
-        if bins(best) == bound:
-            break
+        if not rest:
+            # The waste was in bounds, so this plan is better.
+            best = list(path)
+            if bins(best) == bound:
+                break
         stack.append(iter(()))
     return best
 
@@ -225,14 +256,15 @@ def slots(plan: Plan) -> list[tuple[int, int, int, int, int, int]]:
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """Each document's ids and the closing id, cut into pieces of at most ``capacity``."""
+    modest_batches(docs)
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     names = ["id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path, WordBpe)
+        bpe = model(("word", path), lambda: WordBpe(path))
         for batch in batches:
             where, piece, start, length, crc = [], [], [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
+            for k, text in enumerate(texts_of(batch.column(1))):
                 ids = np.append(bpe.encode(text), CLOSING_ID).astype("<u4")
                 for n, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at: at + capacity]
@@ -266,8 +298,8 @@ def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                               (F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")).alias("before")))
     rank = F.col("rank") + F.col("before")
     numbered = ranked.join(before, (F.col("length") == F.col("of_length")) & (F.col("bucket") == F.col("of_bucket"))).withColumn("rank", rank)
-    # The table of slots is bounded by the capacity, whatever the number of documents.
-    placed = numbered.join(F.broadcast(where), (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank")))
+    # The table of slots grows with the number of patterns, a few thousand at a capacity of 2,048; it is counted all the same.
+    placed = numbered.join(F.broadcast(where) if len(table) <= BROADCAST_ROWS else where, (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank")))
     within = F.col("rank") - F.col("first_rank")
     return placed.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32",
                          (F.col("first_sequence") + F.floor(within / F.col("each"))).alias("sequence_id"),

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm import graph
-from tidewell.llm.common import cut
+from tidewell.llm.common import cut, modest_batches, release, texts_of
 
 WIDTH, BUDGET, SEED = 4, 4, 42
 #: Fingerprints that one task compares with each other at most.
@@ -68,12 +68,14 @@ def fingerprint(hashes: bytes) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, row_col: str | None = None) -> DataFrame:
     """``(id, row, fp)``: the fingerprint as a signed 64-bit number; ``row`` numbers the rows unless ``row_col`` does."""
+    modest_batches(docs)
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     chosen = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
-            found = np.array([fingerprint(shingle_hashes(t, width)) for t in batch.column(2).to_pylist()], np.uint64)
+            found = np.array([fingerprint(shingle_hashes(t, width)) for t in texts_of(batch.column(2))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["id", "row", "fp"])
 
     return chosen.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, row long, fp long")

@@ -25,7 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.bpe import encoder
+from tidewell.llm.bpe import byte_bpe
+from tidewell.llm.common import modest_batches
 
 LENGTH, PADDING = 2048, 0
 #: Tokens packed together.
@@ -84,13 +85,14 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
 
 def matrix(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """One row per packed sequence; ``ids_sha256`` is of the ids without padding, in decimal and joined by commas."""
+    modest_batches(docs)
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = (f"sequence_id long, n_tokens int, n_segments int, doc_ids array<{kind}>, starts array<long>, cu_seqlens array<int>, "
               "position_resets array<int>, ids binary, ids_sha256 string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, number = encoder(path), TaskContext.get().partitionId() << 40
+        bpe, number = byte_bpe(path), TaskContext.get().partitionId() << 40
         held: list[tuple] = []
         tokens = 0
         for batch in batches:

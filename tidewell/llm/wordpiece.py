@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.bpe import LONGEST_REMEMBERED, REMEMBERED, SPACE
+from tidewell.llm.common import model, modest_batches, texts_of
 
 #: Continuing pieces begin with this.
 CONTINUES = "##"
@@ -119,23 +120,21 @@ def vocabulary_of(path: str) -> list[str]:
     return [p for p in found if p != CONTINUES]
 
 
-_counters: dict[str, Counter] = {}
-
-
 def counter(path: str) -> Counter:
-    if path not in _counters:
-        _counters[path] = Counter(vocabulary_of(path))
-    return _counters[path]
+    """The model's counter, built once in each Python worker."""
+    return model(("pieces", path), lambda: Counter(vocabulary_of(path)))
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, the number of tokens, and how many of them are unknown words."""
     chosen = docs.select(F.col(id_col), F.col(text_col).alias("text" if id_col != "text" else "text_"))
 
+    modest_batches(docs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
         for batch in batches:
-            found = [own.count(t.as_py()) for t in batch.column(1)]
+            found = [own.count(t) for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())],
                                              names=[id_col, "n_tokens", "n_unknown"])
 
