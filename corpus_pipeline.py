@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import exact_dedup, jaccard, langid, packing, pii
-from tidewell.llm.common import cut, documents, free_name, small, tokenizer_file, written
+from tidewell.llm.common import cut, documents, free_name, new_path, numbered, remove, small, tokenizer_file, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,15 +30,15 @@ def _without(docs: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = free_name(docs, "row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    flags = exact_dedup.exact_duplicates(numbered, keep="largest", row_col=row)
-    return _without(numbered, row, cut(flags.where("not kept").select("row")))
+    rows = numbered(docs, row)
+    flags = exact_dedup.exact_duplicates(rows, keep="largest", row_col=row)
+    return _without(rows, row, cut(flags.where("not kept").select("row")))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = free_name(docs, "row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    return _without(numbered, row, cut(jaccard.near_duplicates(numbered, row)))
+    rows = numbered(docs, row)
+    return _without(rows, row, cut(jaccard.near_duplicates(rows, row)))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +62,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        # Each stage's rows are written to the shared folder as parquet and read again.
-        docs = written(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        # Each stage's rows are written to the shared folder as parquet and read again; then those before can go.
+        path = new_path(spark, name)
+        docs = written(stage(spark, docs, sf_dir), path)
+        if before:
+            remove(spark, before)
+        before = path
+    result = cut(STAGES[-1][1](spark, docs, sf_dir))
+    remove(spark, before)
+    return result
