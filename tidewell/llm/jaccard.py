@@ -4,16 +4,16 @@ Two texts are linked if the sets of their ``WIDTH``-word shingles (words as in `
 at least ``SIMILARITY``. At 0.8 fingerprints of 64 bits differ in about ten bits and often in more, for which a trie can't
 prune (blocks for that many agree by chance), so the trie join finds the closest pairs and an exact join finds the rest:
 
-* One pass counts shingles in ``SLOTS`` counters, which gives all tasks the same order of shingles, rare ones first. Sets of
-  n shingles as similar as that share one of their first n - ceil(SIMILARITY n) + 1, whatever the order; by rarity,
-  passages that many texts share are seldom among them. Only rows that share such a key with another are looked at further.
+* One pass counts shingles in ``SLOTS`` counters a task and passes on its ``HEAVY`` fullest; the ``HEAVY`` fullest of all give every task the same
+  order of shingles, rare ones first. Sets of n shingles as similar as that share one of their first n - ceil(SIMILARITY n) + 1,
+  whatever the order; by rarity, passages that many texts share are seldom among them. Only rows that share such a key with another are looked at further.
 * Those rows' fingerprints are joined by ``simhash.links``; the links that the texts bear out give the first components.
 * Rows that share keys make up cells (connected parts). In a cell each row that isn't in the cell's largest component is compared with
   all others, in numpy, ``TILE`` shingles against ``TILE`` at a time; a tile returns a spanning forest of its links, so no
   pairs are emitted. In a cell of several tiles all rows are first compared with ``CENTRES`` of them, which
   ties the bulk of a group of copies together, so that few rows are left to compare with all.
 
-Nothing is collected but the counters, of which there are ``SLOTS``, and no link is lost. What can't be bounded is a cell of very many rows that are all just short
+Nothing is collected but ``HEAVY`` counters, and no link is lost. What can't be bounded is a cell of very many rows that are all just short
 of similar: its rows are compared with each other, in tiles.
 
 Defined cases: a null text has no words; a text of fewer words is one shingle; texts without words are alike; a component keeps its smallest id, then
@@ -27,61 +27,89 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewell.llm import graph
 from tidewell.llm.common import batches_of, cut, modest_batches, new_path, release, remove, small, texts_of, written
-from tidewell.llm.simhash import BUDGET, fingerprint, links, shingle_hashes
+from tidewell.llm.graph import Forest
+from tidewell.llm.simhash import ASCII_LOWER, BUDGET, fingerprint, links, shingle_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
-#: Counters of shingles, shingles of a block of rows, and rows that all of a large cell are compared with first.
-SLOTS, TILE, CENTRES = 1 << 18, 1 << 16, 32
+#: Counters of shingles and how many of them are passed on.
+SLOTS, HEAVY = 1 << 22, 1 << 16
+#: Shingles of a block of rows, and rows that all of a large cell are compared with first.
+TILE, CENTRES = 1 << 16, 32
+#: Parts into which the pairs of one row are dealt to be verified.
+PARTS = 4096
 #: Keys that may be broadcast, one number each, and rows with their shingles in an Arrow batch.
 KEYS, ROWS = 1_000_000, 128
-#: What shingles a task counts at once.
-COUNTED = 1 << 20
+#: Shingles that a task counts at once.
+COUNTED = 1 << 18
 NO_WORDS = np.zeros(1, np.uint64)
+#: The weight of each word of a shingle in its hash.
+WEIGHTS = np.random.default_rng(42).integers(0, 1 << 63, 64, np.uint64) | np.uint64(1)
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """The distinct shingles' hashes, sorted."""
-    return np.unique(np.frombuffer(shingle_hashes(text, width), ">u8").astype(np.uint64))
+    """The distinct shingles' hashes, sorted. They are made of the words' hashes, side by side; only equality of shingles matters here."""
+    words = (text or "").encode("utf-8", "replace").translate(ASCII_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    width = min(width, len(words))
+    out = hashes[: len(words) - width + 1] * WEIGHTS[0]
+    for k in range(1, width):
+        out = (out ^ (out >> np.uint64(29))) * WEIGHTS[k] + hashes[k: len(words) - width + 1 + k]
+    out ^= out >> np.uint64(32)
+    return np.unique(out * WEIGHTS[width])
 
 
 def slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
 
-def commonness(docs: DataFrame, text_col: str) -> np.ndarray:
-    """For each slot how often its shingles occur, as a logarithm in quarters: enough to tell common passages from the rest."""
+def commonness(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """The slots whose shingles occur most often, sorted, and for each a number that grows with how often."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        counts, held, size = np.zeros(SLOTS, np.int64), [], 0
+        counts, held, size = np.zeros(SLOTS, np.uint32), [], 0
+
+        def add() -> None:
+            own, n = np.unique(np.concatenate(held), return_counts=True)
+            counts[own] += n.astype(np.uint32)
+
         for batch in batches:
             for text in texts_of(batch.column(0)):
                 held.append(slot(shingles(text)))
                 size += len(held[-1])
                 if size >= COUNTED:
-                    counts += np.bincount(np.concatenate(held), minlength=SLOTS)
+                    add()
                     held, size = [], 0
         if held:
-            counts += np.bincount(np.concatenate(held), minlength=SLOTS)
-        there = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(counts[there])], names=["slot", "n"])
+            add()
+        often = np.flatnonzero(counts > 1)
+        often = often[np.argsort(counts[often], kind="stable")[-HEAVY:]]
+        yield pa.RecordBatch.from_arrays([pa.array(often), pa.array(counts[often].astype(np.int64))], names=["slot", "n"])
 
-    found = docs.select(text_col).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(SLOTS)
-    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
-    return np.floor(4 * np.log2(counts + 1)).astype(np.uint8)
+    found = docs.select(text_col).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "slot").limit(HEAVY).toArrow()
+    slots, n = found.column("slot").to_numpy(), found.column("n").to_numpy()
+    order = np.argsort(slots)
+    return slots[order], np.floor(4 * np.log2(n[order] + 1)).astype(np.uint8)
 
 
-def first_keys(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+def first_keys(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Keys of which two sets that are similar enough share one: the rarest shingles."""
     if not len(hashes):
         return NO_WORDS
-    order = common[slot(hashes)].astype(np.uint64) << np.uint64(56) | hashes >> np.uint64(8)
+    slots, weights = common
+    order = hashes >> np.uint64(8)
+    if len(slots):
+        own = slot(hashes)
+        place = np.minimum(np.searchsorted(slots, own), len(slots) - 1)
+        order |= np.where(slots[place] == own, weights[place], 0).astype(np.uint64) << np.uint64(56)
     n = len(order) - ceil(SIMILARITY * len(order) - 1e-9) + 1
     return np.partition(order, n - 1)[:n] if n < len(order) else order
 
@@ -112,9 +140,8 @@ def sets_of(docs: DataFrame, rows: DataFrame, row_col: str, text_col: str) -> Da
         for batch in batches:
             n, prints, data = [], [], []
             for text in texts_of(batch.column(1)):
-                hashes = shingle_hashes(text, WIDTH)
-                prints.append(fingerprint(hashes))
-                own = np.unique(np.frombuffer(hashes, ">u8").astype(np.uint64))
+                prints.append(fingerprint(shingle_hashes(text, WIDTH)))
+                own = shingles(text)
                 n.append(len(own))
                 data.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(data, pa.binary())],
@@ -124,21 +151,12 @@ def sets_of(docs: DataFrame, rows: DataFrame, row_col: str, text_col: str) -> Da
     return chosen.mapInArrow(run, "row long, n long, fp long, shingles binary")
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= SIMILARITY * (len(a) + len(b) - both)
-
-
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``(u, v)`` of pairs of rows that are similar enough."""
-    both = pairs.join(sets.select(F.col("row").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("row").alias("v"), F.col("shingles").alias("b")), "v")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [alike(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) for a, b in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    """The ``(u, v)`` of pairs of rows that are similar enough, but for those that others tie. The pairs of one ``v`` are dealt over parts."""
+    part = F.pmod(F.xxhash64("u"), F.lit(PARTS)).cast("int")
+    asking = pairs.select(F.col("u").alias("row"), F.col("u").alias("root"), F.col("v").alias("cell"), part.alias("i"), F.lit(0).alias("j"), F.lit(True).alias("asks"))
+    others = asking.select(F.col("cell").alias("row"), F.col("cell").alias("root"), "cell", "i", "j", F.lit(False).alias("asks")).distinct()
+    return compared(asking.unionByName(others), sets)
 
 
 def close_pairs(sets: DataFrame, budget: int) -> DataFrame:
@@ -151,25 +169,6 @@ def close_pairs(sets: DataFrame, budget: int) -> DataFrame:
     return across.unionByName(equal)
 
 
-class Forest:
-    """Which of some labels are tied together."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def top(self, x: int) -> int:
-        up = self.up
-        while (y := up.get(x, x)) != x:
-            up[x] = x = up.get(y, y)
-        return x
-
-    def tie(self, a: int, b: int) -> bool:
-        """Whether that was new."""
-        a, b = self.top(a), self.top(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
 def tile_links(asks: list[np.ndarray], asking: list[int], sets: list[np.ndarray], roots: list[int]) -> list[tuple[int, int]]:
     """Links between the roots of the rows that ask and those of the others, each new to the forest of those before.
 
@@ -192,9 +191,10 @@ def tile_links(asks: list[np.ndarray], asking: list[int], sets: list[np.ndarray]
     return found
 
 
-def compared(tiles: DataFrame) -> DataFrame:
-    """``(u, v)`` links found in tiles. tiles: ``(cell, i, j, asks, root, shingles)``; those that ask are compared with those that don't."""
-    placed = tiles.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").select("cell", "i", "j", "asks", "root", "shingles")
+def compared(tiles: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(u, v)`` links found in tiles. tiles: ``(row, root, cell, i, j, asks)``; the rows of a tile that ask are compared with those that don't."""
+    # Where rows are few, the sets are dealt out only once.
+    placed = sets.select("row", "shingles").join(small(cut(tiles)), "row").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").select("cell", "i", "j", "asks", "root", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -227,19 +227,14 @@ def _named(rows: DataFrame, ties: DataFrame | None) -> DataFrame:
     return rows.join(small(ties.select(F.col("u").alias("row"), F.col("v").alias("tied"))), "row", "left").withColumn("root", F.coalesce("tied", "row")).drop("tied")
 
 
-def _open_cells(held: DataFrame, ties: DataFrame) -> DataFrame:
-    """``(row, root, cell)`` of the rows that share a key with a row of another component; cell: what hangs together by such keys."""
+def _cells(held: DataFrame, ties: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``(row, cell, n)`` of the rows that share a key with a row of another component; cell: what hangs together by such keys."""
     named = cut(_named(held, ties))
     open_keys = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key", "least")
-    open_keys = cut(open_keys)
-    # Components are what hangs together, so cells are made of roots, and each key ties its roots to the least.
-    edges = cut(named.join(small(open_keys, KEYS), "key").select(F.col("root").alias("u"), F.col("least").alias("v")).distinct())
-    tied = graph.components(edges)
-    roots = edges.select(F.col("u").alias("root")).distinct().join(tied.select(F.col("u").alias("root"), F.col("v").alias("top")), "root", "left")
-    roots = cut(roots.select("root", F.coalesce("top", "root").alias("cell")))
-    # Rows without such a key are similar to none outside of their component.
-    rows = named.join(small(open_keys.select("key"), KEYS), "key", "left_semi").select("row", "root").distinct()
-    return rows.join(small(roots), "root").select("row", "root", "cell")
+    # Components are what hangs together, so cells are made of roots, and each key ties its roots to the least. Rows without such a key are similar to none outside.
+    rows = cut(named.join(small(cut(open_keys), KEYS), "key").select("row", "root", "least").distinct())
+    tied = graph.components(rows.select(F.col("root").alias("u"), F.col("least").alias("v")).distinct()).select(F.col("u").alias("root"), F.col("v").alias("top"))
+    return cut(rows.select("row", "root").distinct().join(small(tied), "root", "left").select("row", F.coalesce("top", "root").alias("cell")).join(sizes, "row"))
 
 
 def near_duplicates(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
@@ -256,33 +251,32 @@ def near_duplicates(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_
         found = cut(verified(close_pairs(sets, budget), sets))
     ties = graph.components(found)
 
-    sizes = sets.select("row", "n")
-    cells = cut(_open_cells(held, ties).join(sizes, "row"))
-    whole = cells.groupBy("cell").agg(F.ceil(F.sum(F.col("n") + 1) / TILE).cast("int").alias("blocks"))
-    large = cut(whole.where("blocks > 1"))
+    cells = _cells(held, ties, sets.select("row", "n"))
+    large = cut(cells.groupBy("cell").agg(F.ceil(F.sum(F.col("n") + 1) / TILE).cast("int").alias("blocks")).where("blocks > 1"))
     if not large.isEmpty():
         # Every row of a large cell against a few of them.
-        own = cells.join(small(large), "cell")
+        own = _named(cells.join(small(large), "cell"), ties)
         rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("row"), "row"))
         centres = own.withColumn("rank", rank).where(F.col("rank") <= CENTRES)
         asking = centres.select("row", "root", "cell", F.lit(0).alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("asks"))
         others = own.select("row", "root", "cell", F.lit(0).alias("i"), F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("j"), F.lit(False).alias("asks"))
         with batches_of(spark, ROWS):
-            found = cut(found.unionByName(compared(asking.unionByName(others).join(sets.select("row", "shingles"), "row"))))
+            found = cut(found.unionByName(compared(asking.unionByName(others), sets)))
         ties = graph.components(found)
-        cells = cut(_open_cells(held, ties).join(sizes, "row"))
 
     # The rows outside of each cell's largest component ask all others; every pair of components has one that does.
+    cells = cut(_named(cells, ties))
     parts = cells.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("n") + 1).alias("n"))
-    largest = cut(parts.groupBy("cell").agg(F.max_by("root", F.struct("rows", "root")).alias("largest"), F.sum("n").alias("all"), F.max_by("n", F.struct("rows", "root")).alias("quiet")))
-    plan = largest.select("cell", "largest", F.ceil(F.col("all") / TILE).cast("int").alias("blocks"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("quiet")) / TILE)).cast("int").alias("turns"))
-    own = cut(cells.join(small(plan), "cell"))
+    order = F.struct("rows", "root")
+    plan = parts.groupBy("cell").agg(F.max_by("root", order).alias("largest"), F.sum("n").alias("all"), F.max_by("n", order).alias("quiet"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    plan = plan.select("cell", "largest", F.ceil(F.col("all") / TILE).cast("int").alias("blocks"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("quiet")) / TILE)).cast("int").alias("turns"))
+    own = cells.join(small(cut(plan)), "cell")
     block = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
     asking = own.where("root <> largest").select("row", "root", "cell", F.pmod(F.xxhash64("row", F.lit(1)), F.col("turns")).cast("int").alias("i"),
                                                  F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("asks"))
     others = own.select("row", "root", "cell", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("i"), block.alias("j"), F.lit(False).alias("asks"))
     with batches_of(spark, ROWS):
-        found = cut(found.unionByName(compared(asking.unionByName(others).join(sets.select("row", "shingles"), "row"))))
+        found = cut(found.unionByName(compared(asking.unionByName(others), sets)))
     ties = graph.components(found)
     remove(spark, path)
 

@@ -29,6 +29,7 @@ import re
 import tempfile
 from collections import namedtuple
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -140,9 +141,9 @@ class Parser:
                 # The last state has no phrase open: texts begin there, and bytes the sample lacks lead there.
                 none = len(moves)
                 own = np.full((none + 1, width), -1, kind)
-                for state, to in enumerate(moves):
-                    own[state, own_code[list(to)]] = list(to.values())
-                del moves
+                by = np.fromiter(chain.from_iterable(moves), np.int64)
+                own[np.repeat(np.arange(none), list(map(len, moves))), own_code[by]] = np.fromiter(chain.from_iterable(m.values() for m in moves), kind, len(by))
+                del moves, by
                 broken = own < 0
                 np.copyto(own, np.where(broken[0], none, own[0]), where=broken)
                 own *= width
