@@ -5,8 +5,9 @@ at least ``SIMILARITY``. At 0.8 fingerprints of 64 bits differ in about ten bits
 prune (blocks for that many agree by chance), so the trie join finds the closest pairs and an exact join finds the rest:
 
 * One pass counts shingles in ``SLOTS`` counters a task and passes on its ``HEAVY`` fullest; the ``HEAVY`` fullest of all give every task the same
-  order of shingles, rare ones first. Sets of n shingles as similar as that share one of their first n - ceil(SIMILARITY n) + 1,
-  whatever the order; by rarity, passages that many texts share are seldom among them. Only rows that share such a key with another are looked at further.
+  order of shingles, rare ones first. Sets of n shingles as similar as that share k of their first n - ceil(SIMILARITY n) + k,
+  whatever the order and k (here a twentieth of n); by rarity, passages that many texts share are seldom among them. Only rows that share so many
+  of these keys with others are looked at further.
 * Those rows' fingerprints are joined by ``simhash.links``; the links that the texts bear out give the first components.
 * Rows that share keys make up cells (connected parts). In a cell each row that isn't in the cell's largest component is compared with
   all others, in numpy, ``TILE`` shingles against ``TILE`` at a time; a tile returns a spanning forest of its links, so no
@@ -100,8 +101,18 @@ def commonness(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     return slots[order], np.floor(4 * np.log2(n[order] + 1)).astype(np.uint8)
 
 
+def surplus(n: int) -> int:
+    """How many keys a set of n shingles shares with one that is similar enough and has as many."""
+    return 1 + n // 20
+
+
+def least_shared(n: int) -> int:
+    """How many it shares with any that is similar enough: that may be smaller."""
+    return surplus(ceil(SIMILARITY * n - 1e-9))
+
+
 def first_keys(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Keys of which two sets that are similar enough share one: the rarest shingles."""
+    """Keys of which two sets that are similar enough share ``surplus`` (of the smaller one): the rarest shingles."""
     if not len(hashes):
         return NO_WORDS
     slots, weights = common
@@ -110,28 +121,34 @@ def first_keys(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.
         own = slot(hashes)
         place = np.minimum(np.searchsorted(slots, own), len(slots) - 1)
         order |= np.where(slots[place] == own, weights[place], 0).astype(np.uint64) << np.uint64(56)
-    n = len(order) - ceil(SIMILARITY * len(order) - 1e-9) + 1
+    n = len(order) - ceil(SIMILARITY * len(order) - 1e-9) + surplus(len(order))
     return np.partition(order, n - 1)[:n] if n < len(order) else order
 
 
 def members(docs: DataFrame, row_col: str, text_col: str) -> DataFrame:
-    """``(key, row)`` of the keys that several rows share."""
+    """``(key, row)`` of the keys that several rows share, of rows that share enough."""
     common = commonness(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            found = [first_keys(shingles(t), common) for t in texts_of(batch.column(1))]
+            found, least = [], []
+            for text in texts_of(batch.column(1)):
+                own = shingles(text)
+                found.append(first_keys(own, common))
+                least.append(least_shared(len(own)))
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)),
-                                              batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), sizes)))], names=["key", "row"])
+                                              batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), sizes))), pa.array(np.repeat(np.array(least, np.int32), sizes))],
+                                             names=["key", "row", "least"])
 
     path = new_path(docs.sparkSession)
-    every = written(docs.select(F.col(row_col).cast("long"), text_col).mapInArrow(run, "key long, row long"), path)
+    every = written(docs.select(F.col(row_col).cast("long"), text_col).mapInArrow(run, "key long, row long, least int"), path)
     shared = cut(every.groupBy("key").count().where("count > 1").select("key"))
     found = cut(every.join(small(shared, KEYS), "key", "left_semi"))
     remove(docs.sparkSession, path)
-    return found
+    rows = cut(found.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("least")).where("n >= least").select("row"))
+    return cut(found.join(small(rows), "row", "left_semi").select("key", "row"))
 
 
 def sets_of(docs: DataFrame, rows: DataFrame, row_col: str, text_col: str) -> DataFrame:
@@ -154,8 +171,8 @@ def sets_of(docs: DataFrame, rows: DataFrame, row_col: str, text_col: str) -> Da
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The ``(u, v)`` of pairs of rows that are similar enough, but for those that others tie. The pairs of one ``v`` are dealt over parts."""
     part = F.pmod(F.xxhash64("u"), F.lit(PARTS)).cast("int")
-    asking = pairs.select(F.col("u").alias("row"), F.col("u").alias("root"), F.col("v").alias("cell"), part.alias("i"), F.lit(0).alias("j"), F.lit(True).alias("asks"))
-    others = asking.select(F.col("cell").alias("row"), F.col("cell").alias("root"), "cell", "i", "j", F.lit(False).alias("asks")).distinct()
+    asking = pairs.select(F.col("u").alias("row"), F.col("u").alias("root"), F.col("v").alias("cell"), part.alias("i"), F.lit(0).alias("j"), F.lit(ASKS).alias("role"))
+    others = asking.select(F.col("cell").alias("row"), F.col("cell").alias("root"), "cell", "i", "j", F.lit(ANSWERS).alias("role")).distinct()
     return compared(asking.unionByName(others), sets)
 
 
@@ -191,10 +208,14 @@ def tile_links(asks: list[np.ndarray], asking: list[int], sets: list[np.ndarray]
     return found
 
 
+#: What a row does in a tile.
+ASKS, ANSWERS, BOTH = 1, 2, 3
+
+
 def compared(tiles: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(u, v)`` links found in tiles. tiles: ``(row, root, cell, i, j, asks)``; the rows of a tile that ask are compared with those that don't."""
+    """``(u, v)`` links found in tiles. tiles: ``(row, root, cell, i, j, role)``; the rows of a tile that ask are compared with those that answer."""
     # Where rows are few, the sets are dealt out only once.
-    placed = sets.select("row", "shingles").join(small(cut(tiles)), "row").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").select("cell", "i", "j", "asks", "root", "shingles")
+    placed = sets.select("row", "shingles").join(small(cut(tiles)), "row").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").select("cell", "i", "j", "role", "root", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -206,14 +227,19 @@ def compared(tiles: DataFrame, sets: DataFrame) -> DataFrame:
 
         for batch in batches:
             keys = zip(*(batch.column(k).to_pylist() for k in range(5)))
-            for (*tile, asks, root), data in zip(keys, batch.column(5)):
+            for (*tile, role, root), data in zip(keys, batch.column(5)):
                 if tile != last:
                     if held:
                         yield result()
                     last, held = tile, ([], [], [], [])
                 # A copy, as the batch goes.
-                held[0 if asks else 2].append(np.frombuffer(data.as_py(), np.uint64))
-                held[1 if asks else 3].append(root)
+                own = np.frombuffer(data.as_py(), np.uint64)
+                if role & ASKS:
+                    held[0].append(own)
+                    held[1].append(root)
+                if role & ANSWERS:
+                    held[2].append(own)
+                    held[3].append(root)
         if held:
             yield result()
 
@@ -258,8 +284,8 @@ def near_duplicates(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_
         own = _named(cells.join(small(large), "cell"), ties)
         rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("row"), "row"))
         centres = own.withColumn("rank", rank).where(F.col("rank") <= CENTRES)
-        asking = centres.select("row", "root", "cell", F.lit(0).alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("asks"))
-        others = own.select("row", "root", "cell", F.lit(0).alias("i"), F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("j"), F.lit(False).alias("asks"))
+        asking = centres.select("row", "root", "cell", F.lit(0).alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(ASKS).alias("role"))
+        others = own.select("row", "root", "cell", F.lit(0).alias("i"), F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("j"), F.lit(ANSWERS).alias("role"))
         with batches_of(spark, ROWS):
             found = cut(found.unionByName(compared(asking.unionByName(others), sets)))
         ties = graph.components(found)
@@ -272,11 +298,14 @@ def near_duplicates(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_
     plan = plan.select("cell", "largest", F.ceil(F.col("all") / TILE).cast("int").alias("blocks"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("quiet")) / TILE)).cast("int").alias("turns"))
     own = cells.join(small(cut(plan)), "cell")
     block = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
+    alone = F.col("blocks") == 1
+    single = own.where(alone).select("row", "root", "cell", F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(F.col("root") == F.col("largest"), ANSWERS).otherwise(BOTH).alias("role"))
+    own = own.where(~alone)
     asking = own.where("root <> largest").select("row", "root", "cell", F.pmod(F.xxhash64("row", F.lit(1)), F.col("turns")).cast("int").alias("i"),
-                                                 F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("asks"))
-    others = own.select("row", "root", "cell", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("i"), block.alias("j"), F.lit(False).alias("asks"))
+                                                 F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(ASKS).alias("role"))
+    others = own.select("row", "root", "cell", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("i"), block.alias("j"), F.lit(ANSWERS).alias("role"))
     with batches_of(spark, ROWS):
-        found = cut(found.unionByName(compared(asking.unionByName(others), sets)))
+        found = cut(found.unionByName(compared(single.unionByName(asking).unionByName(others), sets)))
     ties = graph.components(found)
     remove(spark, path)
 

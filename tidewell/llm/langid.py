@@ -41,9 +41,9 @@ from pyspark.sql.window import Window
 from tidewell.llm.common import model, modest_batches, small, texts_of
 
 ROWS, LONGEST, SAMPLE, SAMPLES = 96, 4_096, 40_960, 1 << 20
-BLOCK = 512
+BLOCK = 2048
 #: Bytes of text parsed side by side.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 2 << 20
 UNDETERMINED = "und"
 #: A text is foreign to all languages if even the best needs a phrase for fewer than two bytes, beyond a few phrases.
 FOREIGN, FEW_PHRASES = 0.5, 8
