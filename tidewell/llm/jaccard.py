@@ -6,8 +6,9 @@ prune (blocks for that many agree by chance), so the trie join finds the closest
 
 * One pass counts shingles in ``SLOTS`` counters a task and passes on its ``HEAVY`` fullest; the ``HEAVY`` fullest of all give every task the same
   order of shingles, rare ones first. Sets of n shingles as similar as that share k of their first n - ceil(SIMILARITY n) + k,
-  whatever the order and k (here a twentieth of n); by rarity, passages that many texts share are seldom among them. Only rows that share so many
-  of these keys with others are looked at further.
+  whatever the order and k (here a tenth of n); by rarity, passages that many texts share are seldom among them. Each row then does without the k - 1 of these
+  keys that most rows have (k for the smallest set it may be similar to): as all rows order keys alike, both rows of a pair do without the same of the keys
+  they share, so one is left. Rows that still share a key are looked at further.
 * Those rows' fingerprints are joined by ``simhash.links``; the links that the texts bear out give the first components.
 * Rows that share keys make up cells (connected parts). In a cell each row that isn't in the cell's largest component is compared with
   all others, in numpy, ``TILE`` shingles against ``TILE`` at a time; a tile returns a spanning forest of its links, so no
@@ -103,7 +104,7 @@ def commonness(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
 
 def surplus(n: int) -> int:
     """How many keys a set of n shingles shares with one that is similar enough and has as many."""
-    return 1 + n // 20
+    return 1 + n // 10
 
 
 def least_shared(n: int) -> int:
@@ -144,11 +145,13 @@ def members(docs: DataFrame, row_col: str, text_col: str) -> DataFrame:
 
     path = new_path(docs.sparkSession)
     every = written(docs.select(F.col(row_col).cast("long"), text_col).mapInArrow(run, "key long, row long, least int"), path)
-    shared = cut(every.groupBy("key").count().where("count > 1").select("key"))
-    found = cut(every.join(small(shared, KEYS), "key", "left_semi"))
+    shared = cut(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    found = cut(every.join(small(shared, KEYS), "key"))
     remove(docs.sparkSession, path)
-    rows = cut(found.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("least")).where("n >= least").select("row"))
-    return cut(found.join(small(rows), "row", "left_semi").select("key", "row"))
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("n"), "key"))
+    left = cut(found.withColumn("rank", rank).where("rank >= least").select("key", "row"))
+    several = left.groupBy("key").count().where("count > 1").select("key")
+    return cut(left.join(small(cut(several), KEYS), "key", "left_semi"))
 
 
 def sets_of(docs: DataFrame, rows: DataFrame, row_col: str, text_col: str) -> DataFrame:
