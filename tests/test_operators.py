@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+import literals
 from tidewell.functions.text import index_text
 from tidewell.operators import dedup, evaluate, index, ranking, search, vectors
-from tidewell.plans import preparation_queries as P
 from tidewell.sources import jsonl, products
 from tidewell.streaming import crawl_state, ingest
 
@@ -233,8 +233,36 @@ def test_coercion(spark):
     assert (row["title"], row["original_price"], row["platform"], row["sold_count"]) == ("A b", 5, "tiki", 0)
 
 
+def test_fixed_records(spark):
+    assert sorted(map(tuple, literals.normalized(spark).collect())) == sorted(r for _, r in literals.RECORDS if r)
+    assert sorted(map(tuple, literals.parsed(spark).collect())) == sorted([literals.TIKI[1], literals.CHOTOT[1], literals.SHOPEE[1], literals.EBAY[1]])
+
+
+def test_store_is_not_shuffled_by_enriching(spark, engine):
+    """The hits filter the store where it lies: no exchange of the store by key, and no join of it but by a broadcast."""
+    hits = engine.ranked(engine.understood(queries(spark, "iphone")), 50)
+    plan = search.enrich(hits, spark.range(1000).select(F.col("id").cast("string").alias("doc_id"), *(F.lit("").alias(c) for c in search.DISPLAY), F.lit(0).cast("long").alias("price")), 10, 50)
+    shown = plan._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in shown and "Range" in shown
+    at = shown.splitlines()
+    line = next(k for k, x in enumerate(at) if "Range (0, 1000" in x)
+    above = [x for x in at[:line] if x.index(x.lstrip(" :+-")[:1]) < at[line].index("Range")]
+    assert "LeftSemi" in "".join(above[-4:]) and "hashpartitioning(doc_id" not in "".join(above[-4:])
+
+
+def test_lists_and_gaps_by_blocks(spark):
+    posted = spark.createDataFrame([("t", d, 1 + d % 3) for d in range(0, 50, 3)] + [("u", 49, 2)], "term string, doc_id long, tf long")
+    ids = index.doc_id_map(posted)
+    lists = index.posting_lists(posted, ids, 4)
+    assert all(r["df"] == len(r["postings"]) <= 4 for r in lists.collect()) and lists.where("term = 't'").count() == 5
+    for size in (1, 4, 1000):
+        gaps = {(r["term"], r["int_id"]): r["gap"] for r in index.posting_gaps(posted, ids, size).collect()}
+        assert gaps == {("t", n): 1 for n in range(1, 18)} | {("u", 18): 18}
+        assert sorted(map(tuple, index.decompress(*index.compress(posted, size)).select("term", "doc_id", "tf").collect())) == sorted(map(tuple, posted.collect()))
+
+
 def test_parsers_reject(spark):
-    v = P._variants(spark, [{"name": "no id"}, {"id": 0}])
+    v = literals.variants(spark, [{"name": "no id"}, {"id": 0}])
     assert [r[0] for r in v.select(products.parse_tiki(F.col("v"))).collect()] == [None, None]
     cards = spark.createDataFrame([("<div class='s-item__title'>Shop on eBay</div><a class='s-item__link' href='/itm/1'></a>",), ("<p>",), (None,)], "html string")
     assert [r["product"] for r in products.parse_ebay(cards, "html", F.lit("k")).collect()] == [None, None, None]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 
 import pandas as pd
 from pyspark.sql import Column
@@ -166,15 +167,25 @@ def parse_category_list(c: Column) -> Column:
     return F.transform(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: or_empty(x) != ""), strip)
 
 
-def parse_category_tree(c: Column, depth: int = 8) -> Column:
-    """Names along ``parent`` or the first of ``children`` of a category variant, up to ``depth`` levels."""
-    names = []
-    # A level is reached by "parent" if there is one, else by the first child.
-    at = c
-    for _ in range(depth):
-        names.append(F.coalesce(F.nullif(F.try_variant_get(at, "$.name", "string"), F.lit("")), F.nullif(F.try_variant_get(at, "$.title", "string"), F.lit(""))))
-        at = F.coalesce(F.try_variant_get(at, "$.parent", "variant"), F.try_variant_get(at, "$.children[0]", "variant"), F.try_variant_get(at, "$.children", "variant"))
-    return F.filter(F.array(*names), lambda x: x.isNotNull())
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _tree_names(trees: pd.Series) -> pd.Series:
+    """Names along ``parent`` or the first of ``children`` (an Arrow UDF, as a path of any length can't be written as a column)."""
+    def names(tree: str) -> list[str]:
+        at, out = json.loads(tree), []
+        while isinstance(at, dict):
+            name = at.get("name") or at.get("title")
+            if name:
+                out.append(str(name))
+            below = at.get("children")
+            at = at["parent"] if at.get("parent") else below[0] if isinstance(below, list) and below else below
+        return out
+
+    return trees.map(names, na_action="ignore")
+
+
+def parse_category_tree(c: Column) -> Column:
+    """Names along ``parent`` or the first of ``children`` of a category variant, however deep it is."""
+    return _tree_names(F.to_json(c))
 
 
 def product_id(source: Column, raw: Column) -> Column:

@@ -1,6 +1,7 @@
 """Retrieval metrics over batches of ranked lists.
 
-retrieved: ``(query_id, doc_id, rank)`` with ranks from 1; qrels: ``(query_id, doc_id)``, repeated pairs count once.
+retrieved: ``(query_id, doc_id, rank)`` with ranks from 1; qrels: ``(query_id, doc_id)``, repeated pairs count once, or only ``(doc_id)`` if the same documents
+are relevant to all queries.
 A query of ``queries`` without results or without relevant documents scores 0 where its measure is undefined.
 """
 
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 
 def judged(retrieved: DataFrame, qrels: DataFrame) -> DataFrame:
     """``retrieved`` with ``hit``: whether the document is relevant."""
-    relevant = qrels.select("query_id", "doc_id").distinct().withColumn("hit", F.lit(True))
-    return retrieved.join(relevant, ["query_id", "doc_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    keys = [c for c in ("query_id", "doc_id") if c in qrels.columns]
+    relevant = qrels.select(*keys).distinct().withColumn("hit", F.lit(True))
+    return retrieved.join(relevant, keys, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 #: The shorter list whose precision reports show besides.
@@ -28,8 +30,13 @@ def metrics(queries: DataFrame, retrieved: DataFrame, qrels: DataFrame, k: int)
         F.sum(F.when((F.col("rank") <= SHORT) & F.col("hit"), 1).otherwise(0)).alias("short_hits"),
         F.sum(F.when(inside & F.col("hit"), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"),
         F.min(F.when(F.col("hit"), F.col("rank"))).alias("first_hit"))
-    relevant = qrels.select("query_id", "doc_id").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n_relevant"))
-    joined = queries.select("query_id").join(per_query, "query_id", "left").join(relevant, "query_id", "left").fillna(0, ["hits", "short_hits", "dcg", "n_relevant"])
+    known = queries.select("query_id").join(per_query, "query_id", "left")
+    if "query_id" in qrels.columns:
+        relevant = qrels.select("query_id", "doc_id").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n_relevant"))
+        known = known.join(relevant, "query_id", "left")
+    else:
+        known = known.crossJoin(F.broadcast(qrels.agg(F.countDistinct("doc_id").alias("n_relevant"))))
+    joined = known.fillna(0, ["hits", "short_hits", "dcg", "n_relevant"])
     hits, n = F.col("hits"), F.col("n_relevant")
     precision = hits / F.lit(k) if k > 0 else F.lit(0.0)
     recall = F.when((n > 0) & F.lit(k > 0), hits / n).otherwise(0.0)

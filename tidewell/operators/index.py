@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewell.functions.codec import vb_bytes, vb_numbers
+from tidewell.functions.codec import vb_decoded, vb_encoded
 from tidewell.functions.text import tokenize
 from tidewell.plans.sizes import cut
 
@@ -53,9 +54,20 @@ def term_stats(posted: DataFrame, stats: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(stats.select("n_docs"))).select("term", "df", idf(F.col("n_docs"), F.col("df")).alias("idf"))
 
 
-def posting_lists(posted: DataFrame) -> DataFrame:
-    """``(term, df, postings)`` with the postings by document."""
-    return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
+#: Documents of a block. A term's postings are put together by blocks, so no task gathers all of a frequent term's.
+BLOCK = 65_536
+
+
+def blocked(posted: DataFrame, ids: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Postings with the documents' numbers and blocks: ``(term, block, int_id, doc_id, tf)``."""
+    return posted.join(ids, "doc_id").select("term", F.floor((F.col("int_id") - 1) / size).alias("block"), "int_id", "doc_id", "tf")
+
+
+def posting_lists(posted: DataFrame, ids: DataFrame, size: int = BLOCK) -> DataFrame:
+    """``(term, block, df, postings)``: each term's postings in a block of documents, by document. ids: as ``doc_id_map`` gives."""
+    entry = F.struct("int_id", "doc_id", "tf")
+    lists = blocked(posted, ids, size).groupBy("term", "block").agg(F.count(F.lit(1)).alias("df"), F.sort_array(F.collect_list(entry)).alias("postings"))
+    return lists.withColumn("postings", F.transform("postings", lambda p: F.struct(p["doc_id"].alias("doc_id"), p["tf"].alias("tf"))))
 
 
 def build(docs: DataFrame, text: Column, id_col: str = "doc_id", check_ids: bool = False) -> Index:
@@ -110,33 +122,36 @@ def doc_id_map(posted: DataFrame) -> DataFrame:
     return part.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("place") + 1).alias("int_id"))
 
 
-def posting_gaps(posted: DataFrame, ids: DataFrame) -> DataFrame:
-    """``(term, int_id, gap, tf)``: the distance to the term's document before."""
-    numbered = posted.join(ids, "doc_id")
-    gap = F.col("int_id") - F.lag("int_id", 1, 0).over(Window.partitionBy("term").orderBy("int_id"))
-    return numbered.select("term", "int_id", gap.alias("gap"), "tf")
-
-
-#: Postings in one compressed row; a longer list continues in further blocks, each of which stands for itself.
-BLOCK = 65_536
+def posting_gaps(posted: DataFrame, ids: DataFrame, size: int = BLOCK) -> DataFrame:
+    """``(term, int_id, gap, tf)``: the distance to the term's document before. A block's first goes on from the last of the blocks before."""
+    numbered = blocked(posted, ids, size)
+    within = F.lag("int_id").over(Window.partitionBy("term", "block").orderBy("int_id"))
+    ends = numbered.groupBy("term", "block").agg(F.max("int_id").alias("end"))
+    before = ends.select("term", "block", F.lag("end", 1, 0).over(Window.partitionBy("term").orderBy("block")).alias("before"))
+    gap = F.col("int_id") - F.coalesce("within", "before")
+    return numbered.withColumn("within", within).join(before, ["term", "block"]).select("term", "int_id", gap.alias("gap"), "tf")
 
 
-def compress(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(term, block, data)`` of gaps and frequencies in variable-byte code, and the document numbers."""
+def compress(posted: DataFrame, size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """``(term, block, data)`` of gaps and frequencies in variable-byte code, and the document numbers. A block's gaps begin at 0, so it stands for itself."""
+    posted = cut(posted)
     ids = doc_id_map(posted)
-    numbered = posted.join(ids, "doc_id").withColumn("block", F.floor((F.col("int_id") - 1) / BLOCK))
-    lists = numbered.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("int_id", "tf"))).alias("p"))
+    lists = blocked(posted, ids, size).groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("int_id", "tf"))).alias("p"))
 
     def run(batches):
         for batch in batches:
-            data = []
-            for entries in batch.column(2).to_pylist():
-                last, numbers = 0, []
-                for e in entries:
-                    numbers += (e["int_id"] - last, e["tf"])
-                    last = e["int_id"]
-                data.append(vb_bytes(numbers))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=["term", "block", "data"])
+            column = batch.column(2)
+            sizes, entries = np.diff(column.offsets.to_numpy()), column.flatten()
+            number = entries.field("int_id").to_numpy(zero_copy_only=False)
+            starts = np.cumsum(sizes) - sizes
+            pairs = np.empty(2 * len(number), np.int64)
+            pairs[::2] = np.diff(number, prepend=0)
+            pairs[2 * starts] = number[starts]
+            pairs[1::2] = entries.field("tf").to_numpy(zero_copy_only=False)
+            data, widths = vb_encoded(pairs)
+            ends = np.concatenate(([0], np.cumsum(widths)))[np.concatenate((2 * starts, [len(pairs)]))]
+            raw = data.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([raw[a:b] for a, b in zip(ends, ends[1:])], pa.binary())], names=["term", "block", "data"])
 
     return lists.mapInArrow(run, "term string, block long, data binary"), ids
 
@@ -145,16 +160,16 @@ def decompress(compressed: DataFrame, ids: DataFrame) -> DataFrame:
     """The postings again; a number that the map lacks becomes its own text."""
     def run(batches):
         for batch in batches:
-            term, number, tf = [], [], []
-            for t, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                values = vb_numbers(data)
-                at = 0
-                for gap, n in zip(values[::2], values[1::2]):
-                    at += gap
-                    term.append(t)
-                    number.append(at)
-                    tf.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(number, pa.int64()), pa.array(tf, pa.int64())], names=["term", "int_id", "tf"])
+            rows = batch.column(1).to_pylist()
+            lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+            values, last = vb_decoded(np.frombuffer(b"".join(rows), np.uint8))
+            gaps, tf = values[::2], values[1::2]
+            # Rows hold whole pairs; where each one's begin.
+            counts = np.diff(np.searchsorted(last, np.concatenate(([0], np.cumsum(lengths))))) // 2
+            sums = np.concatenate(([0], np.cumsum(gaps)))
+            number = sums[1:] - np.repeat(sums[np.cumsum(counts) - counts], counts)
+            term = batch.column(0).take(pa.array(np.repeat(np.arange(len(rows)), counts)))
+            yield pa.RecordBatch.from_arrays([term, pa.array(number, pa.int64()), pa.array(tf, pa.int64())], names=["term", "int_id", "tf"])
 
     flat = compressed.select("term", "data").mapInArrow(run, "term string, int_id long, tf long")
     kind = ids.schema["doc_id"].dataType

@@ -66,15 +66,15 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-#: Query vectors held by each task, and vectors multiplied at once.
-QUERY_BLOCK = 1024
+#: Query vectors multiplied at once, and those sent to the tasks for one scan of the vectors.
+QUERY_BLOCK, QUERIES = 1024, 16_384
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, min_score: float | None = None) -> DataFrame:
     """The k vectors with the largest inner product with each query vector, then those of at least ``min_score``.
 
-    queries: ``(query_id, vec)``, a stated set, multiplied in blocks of ``QUERY_BLOCK`` that are gathered and sent
-    to the tasks; vectors: ``(doc_id, vec)``. Each batch of vectors keeps its own k best for each query, and only
+    queries: ``(query_id, vec)``, a stated set, of which ``QUERIES`` are gathered and sent to the tasks (as 32-bit numbers) for each scan,
+    and multiplied in blocks of ``QUERY_BLOCK``; vectors: ``(doc_id, vec)``. Each batch of vectors keeps its own k best for each query, and only
     those are shuffled.
     """
     kind = vectors.schema["doc_id"].dataType.simpleString()
@@ -85,30 +85,33 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, min_score: float |
 
     def scored(block: list) -> DataFrame:
         ids = [r["query_id"] for r in block]
-        matrix = np.array([r["vec"] for r in block], np.float64)
+        held = np.array([r["vec"] for r in block], np.float64)
+        # Vectors are usually 32-bit numbers; then nothing is lost.
+        held = held.astype(np.float32) if (held.astype(np.float32) == held).all() else held
 
         def run(batches):
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 column = batch.column(1)
-                rows = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
-                scores = matrix @ rows.T
+                rows = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1).T
                 n = min(k, batch.num_rows)
-                if n < batch.num_rows:
-                    # All that tie with the last one stay, so ids can break the tie later.
-                    least = -np.partition(-scores, n - 1, axis=1)[:, n - 1: n]
-                    q, d = np.nonzero(scores >= least - 1e-9)
-                else:
-                    q, d = (x.ravel() for x in np.indices(scores.shape))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in q], arrow_kind), batch.column(0).take(pa.array(d)), pa.array(scores[q, d])],
-                                                 names=["query_id", "doc_id", "score"])
+                for first in range(0, len(ids), QUERY_BLOCK):
+                    scores = held[first: first + QUERY_BLOCK].astype(np.float64) @ rows
+                    if n < batch.num_rows:
+                        # All that tie with the last one stay, so ids can break the tie later.
+                        least = -np.partition(-scores, n - 1, axis=1)[:, n - 1: n]
+                        q, d = np.nonzero(scores >= least - 1e-9)
+                    else:
+                        q, d = (x.ravel() for x in np.indices(scores.shape))
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[first + x] for x in q.tolist()], arrow_kind), batch.column(0).take(pa.array(d)), pa.array(scores[q, d])],
+                                                     names=["query_id", "doc_id", "score"])
 
         return vectors.select("doc_id", "vec").where(F.col("vec").isNotNull()).mapInArrow(run, f"query_id {query_kind}, doc_id {kind}, score double")
 
     for row in queries.select("query_id", "vec").toLocalIterator():
         block.append(row)
-        if len(block) == QUERY_BLOCK:
+        if len(block) == QUERIES:
             result = scored(block) if result is None else result.unionByName(scored(block))
             block = []
     if block or result is None:

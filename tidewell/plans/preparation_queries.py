@@ -2,41 +2,15 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions import text
 from tidewell.operators import dedup
-from tidewell.plans.search_queries import _values, table
+from tidewell.plans.search_queries import table
 from tidewell.plans.sizes import new_path
-from tidewell.sources import jsonl, products
 from tidewell.streaming import crawl_state, ingest
 
-# Fixed inputs and the results they must give.
-EXPANSIONS = [("ip 14prm", "iphone 14 pro max"), ("ss galaxy", "samsung galaxy"), ("dt", "điện thoại"), ("256gb", "256 gb"), ("macbook air m2", "macbook air m 2"),
-              ("samsung galaxy s24", "samsung galaxy s 24"), ("tai_nghe", "tai nghe"), ("---", "---"), ("MTB ip", "máy tính bảng iphone")]
-JUNK = [("-24%", True), ("123.000đ", True), ("123", True), ("99,000 vnd", True), ("iPhone 15", False), ("", False)]
-CATEGORIES = [("A > B > C", "A|B|C"), ("wi-fi", "wi|fi"), ("a / b - c", "a|b - c"), (" x ", "x"), ("", ""), ("a>b", "a|b")]
-EBAY_PRICES = [("$1,200.00", 1200.0), ("1.000.000", 1000.0), ("", 0.0), ("US $12.5 to $20", 12.5), ("free", 0.0)]
-EBAY_IDS = [("https://www.ebay.com/itm/123/x?y=1", "123"), ("https://www.ebay.com/itm/456?z", "456")]
-RECORDS = [
-    ({"id": "1", "title": "A", "price": 12.5, "platform": "Tiki", "category": ["x", "y"]}, ("tiki_1", "A", 12, 12, 0, "tiki", "x > y")),
-    ({"id": "shopee_2", "name": "B", "price": "18.990.000 d", "list_price": "20.000.000", "source": "shopee", "sold_count": 3}, ("shopee_2", "B", 18990000, 20000000, 3, "shopee", "")),
-    ({"id": "3", "subject": "C", "price": "1.299.000 - 2.000.000", "all_time_quantity_sold": 7}, ("3", "C", 1299000, 1299000, 7, "", "")),
-    ({"id": "4", "title": "", "price": 1}, None),
-    ({"id": 5, "title": "E", "platform": "tiki"}, None),
-    ({"id": "6", "title": "F", "sold_count": "1.2k"}, None),
-]
-TIKI = ({"id": 9, "name": "Pan", "price": 50000, "list_price": 70000, "quantity_sold": {"value": 4}, "url_path": "pan.html", "brand_name": ""}, ("tiki_9", "Pan", 50000, 70000, 4, "https://tiki.vn/pan.html"))
-CHOTOT = ({"subject": "Old\nbike", "price": 900, "company_ad": False}, ("chotot_None", "Old bike", 900, 900, 0, "https://www.chotot.com/None.htm"))
-SHOPEE = (("https://shopee.vn/a-b-i.12.34?x=1", ["Mall", "Case", "₫1.000 - ₫2.000", "Đã bán 1,2k"]), ("shopee_12.34", "Case", 1000, 1000, 12000, "https://shopee.vn/a-b-i.12.34"))
-EBAY = ('<li><a class="s-item__link" href="https://www.ebay.com/itm/77?h=1"><div class="s-item__title">Lens <b>50mm</b></div></a><span class="s-item__price">$1,200.00</span><img src="i.jpg">100+ sold</li>',
-        ("ebay_77", "Lens50mm", 1200, 1200, 100, "https://www.ebay.com/itm/77"))
-PARSED = ["id", "title", "price", "original_price", "sold_count", "link"]
-
-
 def title_clean_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.title_clean(F.col("text"))).alias("clean_md5"))
 
@@ -55,44 +29,6 @@ def clean_price_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", text.clean_price_text(shown).alias("price"))
 
 
-def expand_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(q,) for q, _ in EXPANSIONS], "query string").select("query", text.expand_query(F.col("query")).alias("expanded"))
-
-
-def junk_title_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(t,) for t, _ in JUNK], "title string").select("title", text.junk_title(F.col("title")).alias("junk"))
-
-
-def parse_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(c,) for c, _ in CATEGORIES], "category string").select("category", F.array_join(text.parse_category(F.col("category")), "|").alias("levels"))
-
-
-def ebay_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(c,) for c, _ in EBAY_PRICES], "shown string").select("shown", text.ebay_price(F.col("shown")).alias("price"))
-
-
-def ebay_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(c,) for c, _ in EBAY_IDS], "url string").select("url", text.ebay_id(F.col("url")).alias("id"))
-
-
-def _variants(spark: SparkSession, records: list[dict]) -> DataFrame:
-    lines = [(json.dumps(r), 0, n) for n, r in enumerate(records)]
-    return spark.createDataFrame(lines, "value string, src_ord int, pos long").withColumn("v", F.try_parse_json("value"))
-
-
-def normalize_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = products.normalized(_variants(spark, [r for r, _ in RECORDS])).where("valid")
-    return found.select("id", "title", "price", "original_price", "sold_count", "platform", "category")
-
-
-def parse_marketplaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tiki = _variants(spark, [TIKI[0]]).select(products.parse_tiki(F.col("v")).alias("product"))
-    chotot = _variants(spark, [CHOTOT[0]]).select(products.parse_chotot(F.col("v")).alias("product"))
-    shopee = spark.createDataFrame([SHOPEE[0]], "link string, lines array<string>").select(products.parse_shopee(F.col("link"), F.col("lines")).alias("product"))
-    ebay = products.parse_ebay(spark.createDataFrame([(EBAY[0],)], "html string"), "html", F.lit("lens")).select("product")
-    return tiki.unionByName(chotot).unionByName(shopee).unionByName(ebay).select("product.*").select(*PARSED)
-
-
 def product_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.product_id(F.lower("p_type"), F.col("p_partkey").cast("string")).alias("id"))
 
@@ -149,7 +85,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    title_clean_docs, clean_html_pages, clean_html_unescaped, clean_price_text, expand_query, junk_title_filter, parse_category, ebay_prices, ebay_ids, normalize_rows, parse_marketplaces,
+    title_clean_docs, clean_html_pages, clean_html_unescaped, clean_price_text,
     product_ids, dedup_keep_latest, merge_keep_first, dedup_report, count_by_source, anti_join_unseen, json_fields, crawl_stats, stream_ingest)}
 
 _CLEAN = "html"
@@ -160,22 +96,11 @@ _LINES = """l AS (SELECT l_orderkey, l_linenumber, l_shipdate, l_returnflag, l_p
     CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS src_ord FROM lineitem)"""
 
 
-def _fixed(rows: list, names: str) -> str:
-    return f"SELECT * FROM (VALUES {_values(rows)}) v({names})"
-
-
 ORACLE_SQL = {
     "title_clean_docs": r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS clean_md5 FROM documents""",
     "clean_html_pages": _CLEAN,
     "clean_html_unescaped": _CLEAN,
     "clean_price_text": "SELECT o_orderkey, round(o_totalprice::DECIMAL(18,2) * 100)::BIGINT AS price FROM orders",
-    "expand_query": _fixed(EXPANSIONS, "query, expanded"),
-    "junk_title_filter": _fixed(JUNK, "title, junk"),
-    "parse_category": _fixed(CATEGORIES, "category, levels"),
-    "ebay_prices": _fixed(EBAY_PRICES, "shown, price"),
-    "ebay_ids": _fixed(EBAY_IDS, "url, id"),
-    "normalize_rows": _fixed([r for _, r in RECORDS if r], "id, title, price, original_price, sold_count, platform, category"),
-    "parse_marketplaces": _fixed([TIKI[1], CHOTOT[1], SHOPEE[1], EBAY[1]], ", ".join(PARSED)),
     "product_ids": "SELECT p_partkey, lower(p_type) || '_' || p_partkey AS id FROM part",
     "dedup_keep_latest": f"WITH {_LINES}, r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, pos) AS n FROM l) SELECT l_orderkey, l_linenumber, l_shipdate, pos FROM r WHERE n = 1",
     "merge_keep_first": f"WITH {_LINES}, r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY src_ord, pos) AS n FROM l) SELECT l_orderkey, l_linenumber, src_ord, pos FROM r WHERE n = 1",

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tidewell.functions import codec
 from tidewell.functions.text import format_price, intent_weights, tokenize
 from tidewell.operators import evaluate, index, ranking, search, vectors
+from tidewell.plans.sizes import cut, new_path
 
 #: The stated batch of queries.
 BATCH = [(1, "the with"), (2, "la de les"), (3, "und der schen"), (4, "Apache License, Version"), (5, "the the of"), (6, "xyznonexist"), (7, "que ción para"), (8, "worthless scum")]
@@ -65,9 +66,14 @@ def term_stats_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.term_stats(own.postings, own.stats).withColumn("idf", F.round("idf", 6))
 
 
+#: Documents of a block in the queries, so that small tables have several.
+SMALL_BLOCK = 256
+
+
 def postings_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = index.posting_lists(document_index(spark, sf_dir).postings)
-    return lists.select("term", "df", F.md5(F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["doc_id"], p["tf"])), ",")).alias("postings_md5"))
+    own = cut(document_index(spark, sf_dir).postings)
+    lists = index.posting_lists(own, index.doc_id_map(own), SMALL_BLOCK)
+    return lists.select("term", "block", "df", F.md5(F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["doc_id"], p["tf"])), ",")).alias("postings_md5"))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,12 +156,15 @@ def diversify_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.diversify(_ranked_sources(spark, sf_dir), 10, 3).select("query_id", "doc_id", "platform", "rank")
 
 
-def _offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _offer_engine(spark: SparkSession, sf_dir: str) -> search.SearchEngine:
     parts = table(spark, sf_dir, "part")
     products = parts.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_retailprice").cast("bigint").alias("price"), F.col("p_type").alias("platform"),
                             F.col("p_brand").alias("category"), F.lit("").alias("link"), F.lit("").alias("image_url"))
-    engine = search.SearchEngine(index.build(parts, F.col("p_name"), "p_partkey"), search.doc_store(products))
-    return engine.search(batch(spark, OFFERS), 50)
+    return search.SearchEngine(index.build(parts, F.col("p_name"), "p_partkey"), search.doc_store(products))
+
+
+def _offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _offer_engine(spark, sf_dir).search(batch(spark, OFFERS), 50)
 
 
 def filter_price_platform(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,14 +182,67 @@ def format_price_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def posting_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = document_index(spark, sf_dir).postings
-    return index.posting_gaps(own, index.doc_id_map(own))
+    own = cut(document_index(spark, sf_dir).postings)
+    return index.posting_gaps(own, index.doc_id_map(own), SMALL_BLOCK)
 
 
 def compress_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.decompress(*index.compress(document_index(spark, sf_dir).postings))
 
 
+_saved: dict[tuple[str, str], str] = {}
+
+
+def saved_index(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the documents' saved index, both plain and compressed; made once in an application, as a search service does."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _saved:
+        path = new_path(spark, "index")
+        own = document_index(spark, sf_dir)
+        own = index.Index(cut(own.postings), cut(own.doc_lengths), own.stats)
+        index.save(own, f"{path}/plain")
+        index.save(own, f"{path}/compressed")
+        index.save_compressed(own, f"{path}/compressed")
+        _saved[key] = path
+    return _saved[key]
+
+
+def index_saved_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.load(spark, f"{saved_index(spark, sf_dir)}/plain").postings
+
+
+def compressed_index_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The postings of an index whose compressed tables are there, which are preferred."""
+    return index.load(spark, f"{saved_index(spark, sf_dir)}/compressed").postings
+
+
+def bm25_saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(ranking.bm25(batch(spark), index.load(spark, f"{saved_index(spark, sf_dir)}/plain"), 10))
+
+
+def hybrid_saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(ranking.hybrid(_hybrid_queries(spark, sf_dir), index.load(spark, f"{saved_index(spark, sf_dir)}/plain"), _vectors(spark, sf_dir), 10, min_score=0.2))
+
+
+def search_mode_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mode that needs vectors, set on an engine without them: the results are BM25's."""
+    engine = search.SearchEngine(index.load(spark, f"{saved_index(spark, sf_dir)}/plain"), search.doc_store(document_store(spark, sf_dir)))
+    engine.set_mode("hybrid")
+    return engine.search(batch(spark), 10)
+
+
+def console_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query as a console shows it: the ten best, with formatted prices."""
+    engine = search.SearchEngine(index.load(spark, f"{saved_index(spark, sf_dir)}/plain"), search.doc_store(document_store(spark, sf_dir)))
+    return engine.search_one(spark, "la de les").select("rank", "doc_id", "title", "score", format_price(F.col("price"), "Lien he", " d").alias("shown"))
+
+
+def offers_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filtered, sorted and paged offers as an interactive list shows them."""
+    found = _offer_engine(spark, sf_dir).offers(batch(spark, OFFERS), ["SMALL", "PROMO", "LARGE"], 901, 1000, "price_asc", 1)
+    return found.select("query_id", "doc_id", "price", F.col("position").cast("long"), "pages")
+
+
 def gamma_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", codec.gamma_encode(F.col("event_id") + 1).alias("bits"))
 
@@ -195,8 +257,7 @@ def vb_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _measured(spark: SparkSession, sf_dir: str, k1: float = ranking.K1, b: float = ranking.B) -> DataFrame:
     hits = ranking.bm25(batch(spark), document_index(spark, sf_dir), 20, k1, b)
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    qrels = batch(spark).select("query_id").crossJoin(good)
-    return evaluate.metrics(batch(spark), hits, qrels, 10)
+    return evaluate.metrics(batch(spark), hits, good, 10)
 
 
 def precision_recall_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +288,7 @@ def build_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     tokenize_docs, term_frequency, doc_lengths, corpus_stats, term_stats_idf, postings_lists, bm25_topk, bm25_batch, bm25_repeated_term, bm25_tune_grid,
     intent_weights_turns, knn_topk, knn_threshold, vector_check, hybrid_rrf, search_enriched, doc_store, diversify_platforms, filter_price_platform, sort_price_page, format_price_parts,
-    posting_gaps, compress_roundtrip, gamma_encode, vb_encode, precision_recall_f1, ndcg, mrr, eval_report, eval_compare_modes, build_ground_truth)}
+    posting_gaps, compress_roundtrip, index_saved_postings, compressed_index_load, bm25_saved_index, hybrid_saved_index, search_mode_fallback, console_search, offers_page, gamma_encode, vb_encode, precision_recall_f1, ndcg, mrr, eval_report, eval_compare_modes, build_ground_truth)}
 
 # --- oracles ---
 
@@ -307,7 +368,8 @@ ORACLE_SQL = {
     "doc_lengths": f"WITH {TOKENS} SELECT doc_id, dl FROM dl",
     "corpus_stats": f"WITH {TOKENS} SELECT n_docs, round(avgdl, 6) AS avgdl FROM stats",
     "term_stats_idf": f"WITH {TOKENS} SELECT term, count(*) AS df, round(ln((any_value(n_docs) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE) + 1), 6) AS idf FROM tf, stats GROUP BY term",
-    "postings_lists": f"WITH {TOKENS} SELECT term, count(*) AS df, md5(string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id)) AS postings_md5 FROM tf GROUP BY term",
+    "postings_lists": f"""WITH {TOKENS}, ids AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS int_id FROM dl)
+        SELECT term, (int_id - 1) // {SMALL_BLOCK} AS block, count(*) AS df, md5(string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id)) AS postings_md5 FROM tf JOIN ids USING (doc_id) GROUP BY ALL""",
     "bm25_topk": f"WITH {_scores([(1, 'that license from')])} {SHOWN} 10",
     "bm25_batch": f"WITH {_scores(BATCH)} {SHOWN} 10",
     "bm25_repeated_term": f"WITH {_scores([(1, 'with'), (2, 'with with')])} {SHOWN} 10",
@@ -329,6 +391,15 @@ ORACLE_SQL = {
         fused AS (SELECT query_id, doc_id, sum(s) * 100 AS score FROM parts GROUP BY ALL),
         top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM fused)
         SELECT query_id, doc_id, round(score, 6) AS score, rank FROM top WHERE rank <= 10""",
+    "index_saved_postings": f"WITH {TOKENS} SELECT term, doc_id, tf FROM tf",
+    "compressed_index_load": f"WITH {TOKENS} SELECT term, doc_id, tf FROM tf",
+    "bm25_saved_index": f"WITH {_scores(BATCH)} {SHOWN} 10",
+    "search_mode_fallback": f"WITH {_enriched(EXPANDED, STORE, 10)} SELECT * FROM again WHERE rank <= 10",
+    "console_search": f"""WITH {_enriched([(0, 'la de les')], STORE, 10)} SELECT rank, doc_id, title, score, CASE WHEN price = 0 THEN 'Lien he' ELSE replace(format('{{:,}}', price), ',', '.') || ' d' END AS shown
+        FROM again WHERE rank <= 10""",
+    "offers_page": f"""WITH {OFFER_CTES}, f AS (SELECT * FROM again WHERE rank <= 50 AND platform IN ('SMALL', 'PROMO', 'LARGE') AND (price BETWEEN 901 AND 1000 OR price = 0)),
+        s AS (SELECT query_id, doc_id, price, row_number() OVER (PARTITION BY query_id ORDER BY price, rank) AS position, ceil(count(*) OVER (PARTITION BY query_id) / 12)::BIGINT AS pages FROM f)
+        SELECT * FROM s WHERE position <= 12""",
     "search_enriched": f"WITH {_enriched(EXPANDED, STORE, 10)} SELECT * FROM again WHERE rank <= 10",
     "doc_store": STORE,
     "diversify_platforms": f"""WITH {_enriched(EXPANDED, STORE, 50)}, r AS (SELECT * FROM again WHERE rank <= 50),
@@ -360,3 +431,5 @@ ORACLE_SQL = {
     "build_ground_truth": f"""WITH {_scores(BATCH)} SELECT query_id, count(rank) AS n_results, coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY rank) FILTER (rank <= 5), '') AS relevant
         FROM q LEFT JOIN (SELECT * FROM ranked WHERE rank <= 20) USING (query_id) GROUP BY query_id""",
 }
+
+ORACLE_SQL["hybrid_saved_index"] = ORACLE_SQL["hybrid_rrf"]
