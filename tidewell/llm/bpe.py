@@ -274,7 +274,10 @@ class ByteBpe:
 
     def join(self, text: str, start: int, middle: int, end: int, left: list[int], right: list[int]) -> list[int]:
         """The ids of ``text[start:end]``, of those of its halves."""
-        width, begin, stop = 16, None, None
+        # Nearly always the nearest blanks will do.
+        width, begin, stop = 16, text.rfind(" ", start, middle), text.find(" ", middle, end)
+        begin = begin if begin > start and not text[begin - 1].isspace() else None
+        stop = stop if stop > middle and not text[stop - 1].isspace() else None
         while begin is None or stop is None:
             a, b = max(start, middle - width), min(end, middle + width)
             if begin is None:

@@ -17,7 +17,9 @@ itself; an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.bpe import byte_bpe
-from tidewell.llm.common import modest_batches
+from tidewell.llm.common import modest_batches, texts_of
 
 LENGTH, PADDING = 2048, 0
 #: Tokens packed together.
@@ -97,8 +99,8 @@ def matrix(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         tokens = 0
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for doc, text in zip(ids, batch.column(1)):
-                found = bpe.encode(text.as_py())
+            for doc, text in zip(ids, texts_of(batch.column(1))):
+                found = array("H", bpe.ids(text))
                 held += [(doc, at, found[at: at + length]) for at in range(0, len(found), length)]
                 tokens += len(found)
                 if tokens >= group:
@@ -115,12 +117,11 @@ def matrix(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             out: list[tuple] = []
             for n, members in enumerate(rows[at: at + 256], number + at):
                 parts = [held[k] for k in members]
-                ids = np.concatenate([x for _, _, x in parts])
-                bounds = [0, *np.cumsum([len(x) for _, _, x in parts]).tolist()]
-                padded = np.full(length, PADDING, "<u2")
-                padded[: len(ids)] = ids
-                digest = hashlib.sha256(",".join(map(bpe.decimal.__getitem__, ids.tolist())).encode()).hexdigest()
-                out.append((n, len(ids), len(parts), [d for d, _, _ in parts], [s for _, s, _ in parts], bounds, bounds[:-1], padded.tobytes(), digest))
+                ids = array("H", b"".join([x.tobytes() for _, _, x in parts]))
+                bounds = [0, *accumulate(len(x) for _, _, x in parts)]
+                digest = hashlib.sha256(",".join(map(bpe.decimal.__getitem__, ids)).encode()).hexdigest()
+                padded = np.array(ids + array("H", [PADDING]) * (length - len(ids)), "<u2").tobytes()
+                out.append((n, len(ids), len(parts), [d for d, _, _ in parts], [s for _, s, _ in parts], bounds, bounds[:-1], padded, digest))
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(id_type), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.string()]
             names = ["sequence_id", "n_tokens", "n_segments", "doc_ids", "starts", "cu_seqlens", "position_resets", "ids", "ids_sha256"]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=names)
