@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidewell.llm import exact_dedup, graph, queries, simhash
+from tidewell.llm.common import numbered
 
 SF = "/root/testdata/sf0.001"
 driver_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are absent")
@@ -47,6 +48,48 @@ def test_exact_with_collisions(spark, table, keep, pick, weak):
     assert sorted(map(tuple, got.collect())) == exact_brute(TEXTS * 2, pick)
 
 
+def test_numbers_stay_however_a_scan_is_dealt(spark, tmp_path):
+    """Rows of several files keep their numbers when splits are cut otherwise; so do the rows that exact and near stages drop, and what is sanitised."""
+    rows = [(k, f"text number {k % 37} of some words that repeat often and once more mail{k % 5}@x.example.com", "en", "s", 1) for k in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(7).write.parquet(str(tmp_path / "d"))
+    settings = {"spark.sql.files.maxPartitionBytes": ("134217728", "700"), "spark.sql.files.openCostInBytes": ("4194304", "1"), "spark.sql.files.minPartitionNum": ("1", "40")}
+    usual = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        def under(n):
+            for k, v in settings.items():
+                spark.conf.set(k, v[n])
+
+        docs = spark.read.parquet(str(tmp_path / "d"))
+        seen, parts = [], []
+        for n in (0, 1):
+            under(n)
+            own = numbered(docs.select("doc_id", "text").where("doc_id >= 0"), "row")
+            seen.append({r["doc_id"]: r["row"] for r in own.collect()})
+            parts.append(spark.read.parquet(str(tmp_path / "d")).rdd.getNumPartitions())
+        assert seen[0] == seen[1] and len(set(seen[0].values())) == 400 and parts[0] < parts[1]
+        # A plan made under one setting and run under the other.
+        under(0)
+        own = numbered(docs, "row")
+        flags = exact_dedup.exact_duplicates(own, row_col="row")
+        under(1)
+        assert {r["id"] for r in flags.where("kept").select(F.col("doc_id").alias("id")).collect()} == set(range(37))
+        # Tables that aren't files are numbered once, in a copy.
+        other = numbered(spark.range(50).repartition(3).withColumn("text", F.lit("x")), "row")
+        assert other.agg(F.countDistinct("row")).first()[0] == 50 and other._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_hot_groups_are_compared_under_several_keys(spark, table, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SALT", 5)
+    texts = ["same"] * 40 + ["Same"] * 3 + ["other", None, ""]
+    for weak in (False, True):
+        hashed = (lambda c: F.lit("0")) if weak else exact_dedup.content_hash
+        got = exact_dedup.exact_duplicates(table(texts), hashed=hashed).drop("row")
+        assert sorted(map(tuple, got.collect())) == exact_brute(texts, min)
+
+
 def fingerprint(text, width=4):
     words = re.findall(r"[^\x20\x09-\x0D]+", fold(text))
     if not words:
@@ -113,7 +156,9 @@ def test_links_of_clusters(spark, rng, cell):
     assert len({(got[x], want[x]) for x in signed}) == len(set(want.values())) == len(set(got.values()))
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("most", [graph.EDGES, 10])
+def test_components_of_paths_and_stars(spark, most):
+    """In one task, and by contraction."""
     edges = [(k + 1, k) for k in range(60)] + [(100, k) for k in range(101, 150)] + [(200, 200)]
-    got = {r["u"]: r["v"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r["u"]: r["v"] for r in graph.components(spark.createDataFrame(edges, "u long, v long"), most).collect()}
     assert got == {k: 0 for k in range(1, 61)} | {k: 100 for k in range(101, 150)}

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import model, modest_batches, texts_of
 
 #: Characters of unsplit text that are encoded as a whole, and leaves from which they are encoded in parallel, by so many threads.
-LEAF, PARALLEL, THREADS = 1024, 8, 4
+LEAF, PARALLEL, THREADS = 1536, 8, 4
 #: A run of more characters, of white space or without, is encoded by itself.
 LONG = 256
 #: Bytes of a single piece that are merged directly.
@@ -228,9 +228,9 @@ class ByteBpe:
 
     def stretches(self, text: str) -> Iterator[tuple[bool, int, int]]:
         """(whether it is a long run, start, end): text cut where words end and white space begins, so that long runs stand alone."""
-        lengths = list(map(len, text.split()))
-        if max(lengths, default=0) <= LONG and len(text) - sum(lengths) - len(lengths) < LONG:
-            # No word is long, and there's too little white space besides one character a word for a long run.
+        # A long run would fill one of these parts with white space, or without any.
+        parts = (text[k: k + LONG // 2] for k in range(0, len(text) - LONG // 2 + 1, LONG // 2))
+        if not any(" " not in part or part.isspace() for part in parts):
             yield False, 0, len(text)
             return
         at = 0
