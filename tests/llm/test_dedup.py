@@ -72,7 +72,7 @@ def test_numbers_stay_however_a_scan_is_dealt(spark, tmp_path):
         own = numbered(docs, "row")
         flags = exact_dedup.exact_duplicates(own, row_col="row")
         under(1)
-        assert {r["id"] for r in flags.where("kept").select(F.col("doc_id").alias("id")).collect()} == set(range(37))
+        assert {r["id"] for r in flags.where("kept").select(F.col("doc_id").alias("id")).collect()} == set(range(185))
         # Tables that aren't files are numbered once, in a copy.
         other = numbered(spark.range(50).repartition(3).withColumn("text", F.lit("x")), "row")
         assert other.agg(F.countDistinct("row")).first()[0] == 50 and other._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
