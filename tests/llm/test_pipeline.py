@@ -3,6 +3,7 @@
 import os
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -83,3 +84,38 @@ def test_near_stage_finds_every_pair_of_high_jaccard(spark, table, rng):
     kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, table(texts), "")
     want = components_by_jaccard(texts)
     assert {r["doc_id"] for r in kept.collect()} == want and len(want) < len(texts) - 100
+
+
+@pytest.mark.parametrize("part_keys", [1 << 20, 50])
+def test_keys_are_dealt_out_once(spark, table, rng, monkeypatch, part_keys):
+    """No table of all keys is written, and rows that share enough keys still share one, in one part or many."""
+    monkeypatch.setattr(jaccard, "written", lambda *_: pytest.fail("a table was written"))
+    words = ["".join(rng.choice("etaoins") for _ in range(5)) for _ in range(500)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice((9, 60, 200)))) for _ in range(40)]
+    texts += [t.replace(t.split(" ")[5], "changed", 1) for t in texts[:20]] + [texts[0] + f" end {k}" for k in range(9)] + ["", "?", None]
+    docs = table(texts)
+    held = {}
+    for r in jaccard.members(docs, "doc_id", "text", part_keys=part_keys).collect():
+        held.setdefault(r["row"], set()).add(r["key"])
+    common, every = jaccard.commonness(docs, "text")
+    sets = [jaccard.shingles(t) for t in texts]
+    keys = [set(jaccard.first_keys(s, common).tolist()) for s in sets]
+    assert every == sum(map(len, keys))
+    close = {(a, b) for a in range(len(texts)) for b in range(a) if len(keys[a] & keys[b]) >= max(jaccard.least_shared(len(sets[k])) for k in (a, b))}
+    assert len(close) > 40 and all(held[a] & held[b] for a, b in close)
+    shared = [{k for k in own if sum(k in other for other in keys) > 1} for own in keys]
+    assert all(len(shared[row]) >= jaccard.least_shared(len(sets[row])) for row in held) and len(held) < len(texts)
+
+
+def test_dealt_keys_take_few_bytes(rng):
+    """A key used to take about eleven bytes in a table and as many in each of two shuffles."""
+    keys = [np.array([rng.getrandbits(64) for _ in range(150)], np.uint64) for _ in range(2000)]
+    dealt = jaccard.dealt([(3 * k, 40, own) for k, own in enumerate(keys)], 30)
+    parts = list(zip(*(dealt.column(k).to_pylist() for k in range(3))))
+    assert sum(len(data) for _, _, data in parts) <= 6.5 * sum(map(len, keys))
+    found = [(part, *x) for part, n, data in parts if part >= 0 for x in zip(*(c.tolist() for c in jaccard.unpacked(data, n)))]
+    want = [(((k & (1 << 56) - 1) >> 24) * 30 >> 32, k & (1 << 40) - 1, 3 * row) for row, own in enumerate(keys) for k in own.tolist()]
+    assert sorted(found) == sorted(want)
+    (part, n, data), = [x for x in parts if x[0] < 0]
+    least, rows = jaccard.unpacked(data, n)
+    assert least.tolist() == [40] * 2000 and rows.tolist() == [3 * k for k in range(2000)]

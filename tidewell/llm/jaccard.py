@@ -8,7 +8,8 @@ prune (blocks for that many agree by chance), so the trie join finds the closest
   order of shingles, rare ones first. Sets of n shingles as similar as that share k of their first n - ceil(SIMILARITY n) + k,
   whatever the order and k (here a tenth of n); by rarity, passages that many texts share are seldom among them. Each row then does without the k - 1 of these
   keys that most rows have (k for the smallest set it may be similar to): as all rows order keys alike, both rows of a pair do without the same of the keys
-  they share, so one is left. Rows that still share a key are looked at further.
+  they share, so one is left. Rows that still share a key are looked at further. Keys are dealt out once, as ``PART`` bytes within a range of all keys and the distance to the
+  row before, compressed (about six bytes); what counts a range's keys has their rows at hand, so no table of all keys is written or joined.
 * Those rows' fingerprints are joined by ``simhash.links``; the links that the texts bear out give the first components.
 * Rows that share keys make up cells (connected parts). In a cell each row that isn't in the cell's largest component is compared with
   all others, in numpy, ``TILE`` shingles against ``TILE`` at a time; a tile returns a spanning forest of its links, so no
@@ -50,6 +51,10 @@ PARTS = 4096
 KEYS, ROWS = 1_000_000, 128
 #: Shingles that a task counts at once.
 COUNTED = 1 << 18
+#: Keys in a part of all keys, about; keys that a task deals out at once; bytes of a key within its part, and of a row's number; rows returned at once.
+PART_KEYS, DEALT, PART, NUMBER, RETURNED = 1 << 20, 1 << 20, 5, 8, 1 << 16
+#: The bits of a key that tell its part: those of its hash, without its weight.
+HASHED = np.uint64((1 << 56) - 1)
 NO_WORDS = np.zeros(1, np.uint64)
 #: The weight of each word of a shingle in its hash.
 WEIGHTS = np.random.default_rng(42).integers(0, 1 << 63, 64, np.uint64) | np.uint64(1)
@@ -73,11 +78,11 @@ def slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
 
-def commonness(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """The slots whose shingles occur most often, sorted, and for each a number that grows with how often."""
+def commonness(docs: DataFrame, text_col: str) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+    """The slots whose shingles occur most often, sorted, and for each a number that grows with how often; and how many keys all rows have."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        counts, held, size = np.zeros(SLOTS, np.uint32), [], 0
+        counts, held, size, keys = np.zeros(SLOTS, np.uint32), [], 0, 0
 
         def add() -> None:
             own, n = np.unique(np.concatenate(held), return_counts=True)
@@ -87,6 +92,7 @@ def commonness(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
             for text in texts_of(batch.column(0)):
                 held.append(slot(shingles(text)))
                 size += len(held[-1])
+                keys += keys_of(len(held[-1]))
                 if size >= COUNTED:
                     add()
                     held, size = [], 0
@@ -94,12 +100,14 @@ def commonness(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
             add()
         often = np.flatnonzero(counts > 1)
         often = often[np.argsort(counts[often], kind="stable")[-HEAVY:]]
-        yield pa.RecordBatch.from_arrays([pa.array(often), pa.array(counts[often].astype(np.int64))], names=["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(often, -1)), pa.array(np.append(counts[often].astype(np.int64), keys))], names=["slot", "n"])
 
-    found = docs.select(text_col).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "slot").limit(HEAVY).toArrow()
+    found = docs.select(text_col).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = found.orderBy(F.col("slot") >= 0, F.desc("n"), "slot").limit(HEAVY + 1).toArrow()
     slots, n = found.column("slot").to_numpy(), found.column("n").to_numpy()
+    keys, slots, n = int(n[slots < 0].sum()), slots[slots >= 0], n[slots >= 0]
     order = np.argsort(slots)
-    return slots[order], np.floor(4 * np.log2(n[order] + 1)).astype(np.uint8)
+    return (slots[order], np.floor(4 * np.log2(n[order] + 1)).astype(np.uint8)), keys
 
 
 def surplus(n: int) -> int:
@@ -112,6 +120,11 @@ def least_shared(n: int) -> int:
     return surplus(ceil(SIMILARITY * n - 1e-9))
 
 
+def keys_of(n: int) -> int:
+    """How many keys a set of n shingles has."""
+    return min(n, n - ceil(SIMILARITY * n - 1e-9) + surplus(n)) if n else 1
+
+
 def first_keys(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Keys of which two sets that are similar enough share ``surplus`` (of the smaller one): the rarest shingles."""
     if not len(hashes):
@@ -122,34 +135,100 @@ def first_keys(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.
         own = slot(hashes)
         place = np.minimum(np.searchsorted(slots, own), len(slots) - 1)
         order |= np.where(slots[place] == own, weights[place], 0).astype(np.uint64) << np.uint64(56)
-    n = len(order) - ceil(SIMILARITY * len(order) - 1e-9) + surplus(len(order))
+    n = keys_of(len(order))
     return np.partition(order, n - 1)[:n] if n < len(order) else order
 
 
-def members(docs: DataFrame, row_col: str, text_col: str) -> DataFrame:
-    """``(key, row)`` of the keys that several rows share, of rows that share enough."""
-    common = commonness(docs, text_col)
+def packed(keys: np.ndarray, rows: np.ndarray) -> bytes:
+    """The last ``PART`` bytes of the keys and the distances of the rows, bytes of one place side by side, compressed."""
+    planes = [keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PART].T, np.diff(rows, prepend=0).astype("<i8").view(np.uint8).reshape(-1, NUMBER).T]
+    return pa.compress(np.concatenate(planes).tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(pa.decompress(data, n * (PART + NUMBER), "zstd", asbytes=True), np.uint8).reshape(-1, n)
+    keys = np.zeros((n, 8), np.uint8)
+    keys[:, :PART] = planes[:PART].T
+    return keys.view("<u8").ravel(), np.cumsum(np.ascontiguousarray(planes[PART:].T).view("<i8").ravel())
+
+
+def dealt(held: list[tuple[int, int, np.ndarray]], parts: int) -> pa.RecordBatch:
+    """``(part, n, data)``: the keys of some rows by parts; and in a part below 0 the ``least`` of each row in place of a key. held: row, least and keys."""
+    numbers, least = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.uint64)
+    keys = np.concatenate([x[2] for x in held])
+    rows = np.repeat(numbers, [len(x[2]) for x in held])
+    part = ((keys & HASHED) >> np.uint64(24)) * np.uint64(parts) >> np.uint64(32)
+    order = np.argsort(part, kind="stable")
+    keys, rows, part = keys[order], rows[order], part[order]
+    begins = np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1))
+    ends = np.append(begins[1:], len(part))
+    out = [(int(part[a]), int(b - a), packed(keys[a:b], rows[a:b])) for a, b in zip(begins, ends)]
+    out.append((-1 - int(numbers[0] % PARTS), len(numbers), packed(least, numbers)))
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["part", "n", "data"])
+
+
+def shared(part: int, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """``(key, row, n, least)``: what several rows of a part share, with how many do; of a part below 0 the ``least`` of each row, without a key."""
+    keys, rows = (np.concatenate(x) for x in zip(*held))
+    if part < 0:
+        none = pa.nulls(len(rows), pa.int64())
+        columns = [none, pa.array(rows), none, pa.array(keys.astype(np.int32))]
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, rows = keys[order], rows[order]
+        begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        n = np.diff(np.append(begins, len(keys)))
+        n = np.repeat(n, n)
+        several = n > 1
+        keys = (np.uint64(part << 8 * PART) | keys[several]).view(np.int64)
+        columns = [pa.array(keys), pa.array(rows[several]), pa.array(n[several]), pa.nulls(len(keys), pa.int32())]
+    found = pa.RecordBatch.from_arrays(columns, names=["key", "row", "n", "least"])
+    for k in range(0, found.num_rows, RETURNED):
+        yield found.slice(k, RETURNED)
+
+
+def members(docs: DataFrame, row_col: str, text_col: str, part_keys: int = PART_KEYS) -> DataFrame:
+    """``(key, row)`` of the keys that several rows share, of rows that share enough.
+
+    A key is its part and ``PART`` bytes of its hash. Where these are the same by chance, a row has the key more than once
+    and is counted so; as pairs then share as many as before, none is lost.
+    """
+    common, every = commonness(docs, text_col)
+    parts = max(1, ceil(every / part_keys))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
+        held, size = [], 0
         for batch in batches:
-            found, least = [], []
-            for text in texts_of(batch.column(1)):
+            for row, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
                 own = shingles(text)
-                found.append(first_keys(own, common))
-                least.append(least_shared(len(own)))
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)),
-                                              batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), sizes))), pa.array(np.repeat(np.array(least, np.int32), sizes))],
-                                             names=["key", "row", "least"])
-
-    path = new_path(docs.sparkSession)
-    every = written(docs.select(F.col(row_col).cast("long"), text_col).mapInArrow(run, "key long, row long, least int"), path)
-    shared = cut(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    found = cut(every.join(small(shared, KEYS), "key"))
-    remove(docs.sparkSession, path)
-    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("n"), "key"))
-    left = cut(found.withColumn("rank", rank).where("rank >= least").select("key", "row"))
+                held.append((row, least_shared(len(own)), first_keys(own, common)))
+                size += len(held[-1][2])
+                if size >= DEALT:
+                    yield dealt(held, parts)
+                    held, size = [], 0
+        if held:
+            yield dealt(held, parts)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        last, held = None, []
+        for batch in batches:
+            for part, n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if part != last:
+                    if held:
+                        yield from shared(last, held)
+                    last, held = part, []
+                held.append(unpacked(data.as_py(), n))
+        if held:
+            yield from shared(last, held)
+
+    placed = docs.select(F.col(row_col).cast("long"), text_col).mapInArrow(deal, "part long, n long, data binary").repartition("part").sortWithinPartitions("part")
+    found = placed.mapInArrow(count, "key long, row long, n long, least int")
+    own = Window.partitionBy("row")
+    ranked = found.withColumn("rank", F.row_number().over(own.orderBy(F.desc("n"), "key"))).withColumn("least", F.max("least").over(own))
+    with batches_of(docs.sparkSession, ROWS):
+        left = cut(ranked.where("key is not null and rank >= least").select("key", "row"))
     several = left.groupBy("key").count().where("count > 1").select("key")
     return cut(left.join(small(cut(several), KEYS), "key", "left_semi"))
 
