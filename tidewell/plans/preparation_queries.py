@@ -20,7 +20,7 @@ def clean_html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_html_unescaped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With every entity, through the Arrow UDF; the tables hold only common ones, so the result is the same."""
+    """With every entity, through the Arrow UDF; the tables hold only common ones and cut-off ones, which stay, so the result is the same."""
     return table(spark, sf_dir, "pages").select("page_id", text.clean_html(F.col("html")).alias("clean"))
 
 
