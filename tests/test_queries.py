@@ -36,6 +36,18 @@ def test_query_matches_oracle(spark, duck, name):
     assert canon(map(tuple, df.select(*names).collect())) == canon(expected)
 
 
+ODD_PAGES = [None, "", "\xa0 of the\u2003", "\x0bof\x0bthe\x0b", "of\xa0the a\xa0\xa0b", "éof the", "of theé of the_ of the2 of the²", "Of The<b>of the</b> of\n\tthe of the",
+             "&eacute; &#233; &#x41; &hellip; &NBSP;x&nbsp;&amp;lt; &amp &am", "&#39; &#39 &quo &copy; a &Copy b", "ΟΔΟΣ ΣΑΣ, İstanbul ẞ", "a < b <> c <d\ne> f <g", "\u3000<p>\u3000x\x85</p>\x1c"]
+
+
+def test_normalize_text_pages_matches_oracle_on_odd_pages(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(ODD_PAGES)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    found = registry.QUERIES["normalize_text_pages"](spark, str(tmp_path)).select("page_id", "normal").orderBy("page_id").collect()
+    assert list(map(tuple, found)) == con.execute(registry.ORACLE_SQL["normalize_text_pages"] + " ORDER BY page_id").fetchall()
+
+
 def test_entry_runs(spark):
     import __spark_entry__
 

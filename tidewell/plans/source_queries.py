@@ -103,8 +103,8 @@ COMPOUNDS = ["of the", "the of"]
 
 
 def normalize_text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lower case, entities and tags resolved, compounds joined."""
-    return table(spark, sf_dir, "pages").select("page_id", text.normalize_text(F.col("html"), COMPOUNDS[:1]).alias("normal"))
+    """Lower case, entities and tags resolved, compounds joined, as SQL's functions do it."""
+    return table(spark, sf_dir, "pages").select("page_id", text.normalize_text(F.col("html"), COMPOUNDS[:1], as_sql=True).alias("normal"))
 
 
 def segment_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
